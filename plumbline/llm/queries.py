@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Scratch, table
+from .decontaminate import report
 from .linededup import drop_repeated_lines
 from .mixing import mix
 from .pii import pseudonymise
+from .tokens import read_tokens, write_tokens
 
 #: Production reads the key from a secret store; the queries need a fixed one so that reruns agree.
 PII_KEY = "rotate-me-1"
@@ -98,3 +100,46 @@ select r.doc_id, r.size, r.source_size, r.target,
        cast((r.whole + case when r.rank is not null and s.sofar + s.words / 2.0::double <= r.need then 1 else 0 end) * r.size as bigint) as taken
 from ranked r left join summed s on r.source is not distinct from s.source and r.rank = s.rank
 """
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), Scratch(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES |= {f.__name__: f for f in (op3_decontamination, op8_token_output)}
+
+ORACLE["op3_decontamination"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+),
+b as (
+  select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+),
+win as (
+  select distinct item, 10 as k, array_to_string(list_slice(w, i, i + 9), ' ') as g
+  from (select item, w, unnest(range(1, len(w) - 8)) as i from b where len(w) >= 10)
+  union
+  select distinct item, len(w) as k, array_to_string(w, ' ') as g from b where len(w) between 1 and 9
+),
+sizes as (select distinct k from win),
+grams as (
+  select doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') as g
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)
+),
+hits as (select doc_id, i, win.k as k, item from grams join win on grams.k = win.k and grams.g = win.g),
+hit_words as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n, 0) as bigint) as n_hit, cast(coalesce(m.n, 0) as bigint) as n_items,
+       sha256(coalesce(m.names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join hit_words h using (doc_id) left join named m using (doc_id)
+"""

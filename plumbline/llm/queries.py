@@ -9,6 +9,7 @@ from .base import Scratch, table
 from .decontaminate import report
 from .linededup import drop_repeated_lines
 from .mixing import mix
+from .neardup import near_duplicates
 from .pii import pseudonymise
 from .tokens import read_tokens, write_tokens
 
@@ -143,3 +144,10 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n, 0) as b
        sha256(coalesce(m.names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
 from d left join hit_words h using (doc_id) left join named m using (doc_id)
 """
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "near"), k=2)
+
+
+QUERIES["op6_near_duplicates"] = op6_near_duplicates

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, table
+from .base import Scratch, remainder, table
 from .decontaminate import report
 from .linededup import drop_repeated_lines
+from .lm import language_scores
 from .mixing import mix
 from .neardup import near_duplicates
 from .pii import pseudonymise
+from .quality import quality_scores
 from .tokens import read_tokens, write_tokens
 
 #: Production reads the key from a secret store; the queries need a fixed one so that reruns agree.
@@ -151,3 +153,17 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_near_duplicates"] = op6_near_duplicates
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_scores(table(spark, sf_dir, "documents"), Scratch(spark, "lm"), remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_scores(table(spark, sf_dir, "documents"), labelled)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES |= {f.__name__: f for f in (op4_language_model, op7_quality)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, remainder, table
 from .decontaminate import report
+from .licenses import scan_licenses
 from .linededup import drop_repeated_lines
 from .lm import language_scores
 from .mixing import mix
@@ -14,6 +15,7 @@ from .neardup import near_duplicates
 from .pii import pseudonymise
 from .quality import quality_scores
 from .tokens import read_tokens, write_tokens
+from .vectors import near_vectors
 
 #: Production reads the key from a secret store; the queries need a fixed one so that reruns agree.
 PII_KEY = "rotate-me-1"
@@ -167,3 +169,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op4_language_model, op7_quality)}
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
+
+
+QUERIES["op10_near_vectors"] = op10_near_vectors
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; source and language stand for their directories."""
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs, Scratch(spark, "licenses"), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string")))
+
+
+QUERIES["op2_licenses"] = op2_licenses

@@ -69,6 +69,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """A written table as one side of a join: broadcast if it is counted to have `most` rows of a few numbers or fewer,
+    else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remainder(column: str, by: int):
     """crc32 of the id's decimal text modulo `by`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, pieces, runs, strings
+from .base import Scratch, pieces, runs, small_side, strings
 from .components import components
 from .text import SPACE, mix, shingles, words
 
@@ -270,13 +270,15 @@ def candidate_edges(reps: DataFrame, scratch: Scratch, least: int, most: int = 2
     return edges.unionAll(starred.where("near and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionAll(pairs.select("a", "b"))
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20) -> DataFrame:
+def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs (doc_id, text), clusters (node, component) -> edges that connect what pairs of at least percent connect.
 
-    A cluster of up to block_bytes of text is one unit of work. A larger one is cut into blocks, and each pair of
+    Up to broadcast_rows members (two numbers each, counted first) are broadcast to the texts; for more of them texts are
+    shuffled. A cluster of up to block_bytes of text is one unit of work. A larger one is cut into blocks, and each pair of
     blocks is a unit, so that a task holds two blocks at most and every pair of documents meets.
     """
-    texts = clusters.join(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node").select(F.col("component").alias("cluster"), "node", "text")
+    clusters = small_side(scratch.keep(clusters, "clusters"), broadcast_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(clusters, "node").select(F.col("component").alias("cluster"), "node", "text")
     texts = scratch.keep(texts, "texts")
     sizes = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks")).where("blocks > 1")
     cut = texts.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

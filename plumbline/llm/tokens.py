@@ -28,6 +28,9 @@ from .base import Scratch, pieces, strings
 
 MAGIC = b"PLUMBIT1"
 BLOCK = 4096
+#: ASCII signs but the apostrophe, which may belong to a contraction.
+SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def width(vocabulary: int) -> int:
@@ -120,15 +123,16 @@ class TokenFile:
 class Encoder:
     """The tokenizer with a memory of what chunks between ASCII white space become.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order. The
-    memory is emptied when it holds more than `most` chunks or bytes of chunks of 64 times that.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order. When
+    the memory holds more than `most` chunks, or 64 times as many bytes of them, the rarer ones are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.most = end_id, most
         self.clear()
 
@@ -136,39 +140,93 @@ class Encoder:
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = self.bytes = 0
-        self.start, self.size = [], []
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 10_000):
-            some = chunks[i : i + 10_000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)]
-            need = sum(map(len, got))
-            if self.used + need > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-            self.flat[self.used : self.used + need] = np.fromiter((x for ids in got for x in ids), np.uint32, need)
-            for c, ids in zip(some, got):
-                self.place[c] = len(self.start)
-                self.start.append(self.used)
-                self.size.append(len(ids))
-                self.used += len(ids)
-            self.bytes += sum(map(len, some))
+        self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps what has been met most often, half the memory at most."""
+        least = 2
+        while (self.hits >= least).sum() > self.most // 2:
+            least *= 2
+        keep = np.flatnonzero(self.hits >= least)
+        names = list(self.place)  # in order of their places
+        names = [names[i] for i in keep.tolist()]
+        if sum(map(len, names)) > 32 * self.most:
+            return self.clear()
+        (ids, _), sizes, hits = self._gather(keep), self.size[keep], self.hits[keep] // 2
+        self.clear()
+        self._store(names, ids, sizes)
+        self.hits[:] = hits
+
+    def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        need = len(ids)
+        if self.used + need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + need] = ids
+        first = len(self.size)
+        self.place.update(zip(chunks, range(first, first + len(chunks))))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(sizes), np.int64)])
+        self.used += need
+        self.bytes += sum(map(len, chunks))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stored chunks one after another, and the offsets of each."""
+        n = self.size[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])], total
+
+    def _learn(self, chunks: list[bytes], special: bool) -> None:
+        """Small ASCII letters alone are one unit of the model and go to it straight. A chunk whose last letter or
+        digit is ASCII and followed by ASCII signs only is its two sides, since the tokenizer always parts them there.
+        All else goes through the whole tokenizer, many chunks in one call. Chunks with the name of
+        a special token go there one by one."""
+        named = [c for c in chunks if any(name in c for name in self.special)] if special else []
+        if named:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in named], add_special_tokens=False)]
+            self._store(named, np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            chunks = [c for c in chunks if c not in self.place]
+        parted, simple = [], set()
+        for c in chunks:
+            core = c.rstrip(SIGNS)
+            if core and len(core) < len(c) and core[-1] in LETTERS:
+                parted.append((c, core, c[len(core) :]))
+                simple.add(core)
+                simple.add(c[len(core) :])
+            else:
+                simple.add(c)
+        simple = [c for c in simple if c not in self.place]
+        letters = [c for c in simple if c.isalpha() and c.islower()]
+        if letters:
+            got = [[t.id for t in self.tokenizer.model.tokenize(c.decode())] for c in letters]
+            self._store(letters, np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        others = [c for c in simple if c not in self.place]
+        for i in range(0, len(others), 20_000):
+            some = others[i : i + 20_000]
+            e = self.tokenizer.encode([c.decode("utf-8", "replace") for c in some], is_pretokenized=True, add_special_tokens=False)
+            self._store(some, np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)).astype(np.int64))
+        if parted:
+            at = np.array([self.place[x] for _, core, tail in parted for x in (core, tail)])
+            ids, _ = self._gather(at)
+            self._store([c for c, _, _ in parted], ids, self.size[at].reshape(-1, 2).sum(1))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and their numbers by text."""
         if len(self.place) > self.most or self.bytes > 64 * self.most:
-            self.clear()
+            self.forget()
         raw, low = data[int(offsets[0]) : int(offsets[-1])].tobytes(), int(offsets[0])
+        special = any(name in raw for name in self.special)
+        if not special:  # the tokenizer lower-cases all but these
+            raw = raw.lower()
         chunks: list[bytes] = []
         upto = np.zeros(len(offsets), np.int64)
         for i in range(len(offsets) - 1):
             chunks += raw[int(offsets[i]) - low : int(offsets[i + 1]) - low].split()
             upto[i + 1] = len(chunks)
-        self._learn([c for c in set(chunks) if c not in self.place])
+        self._learn([c for c in set(chunks) if c not in self.place], special)
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        starts, sizes = np.array(self.start, np.int64), np.array(self.size, np.int64)
-        n = sizes[at] if len(at) else at
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(starts[at] - total[:-1], n) + np.arange(total[-1])] if len(at) else np.zeros(0, np.uint32)
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        ids, total = self._gather(at)
         ends = total[upto[1:]]
         return np.insert(ids, ends, self.end_id), np.diff(np.concatenate([[0], ends])) + 1
 

@@ -19,6 +19,7 @@ automaton its own texts can reach. So memory is bounded by the part and the shar
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ from .base import Scratch, remainder, runs, strings
 from .text import SPACE, join, mix, words
 
 END = np.uint64(0x9D5C3A7B12E4F681)
+_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 START = np.uint64(0x3C6EF372FE94F82B)
 
 
@@ -114,10 +116,25 @@ REQUEST = "part long, k int, shard int, keys binary, counts binary"
 ANSWER = "part long, k int, shard int, seen binary, n long, kinds long, once long"
 
 
-def _distinct(gram: np.ndarray, trained: np.ndarray | None):
-    keys, at = np.unique(gram, return_inverse=True)
-    counts = np.bincount(at, weights=trained, minlength=len(keys)).astype(np.int64) if trained is not None else None
-    return keys, at, counts
+def _counted(gram: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how many training tokens each has. The lowest bit of a key gives way to the mark of
+    training, so that one sort in place does it."""
+    both = (gram & _EVEN) | trained
+    both.sort()
+    first = np.ones(len(both), bool)
+    first[1:] = (both[1:] ^ both[:-1]) > np.uint64(1)
+    begin = np.flatnonzero(first)
+    counts = np.add.reduceat((both & np.uint64(1)).astype(np.int32), begin) if len(begin) else np.zeros(0, np.int32)
+    return both[begin] & _EVEN, counts
+
+
+def _release() -> None:
+    """Hands freed memory back, which many arrays of middle size would else keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _bounds(shards: int) -> np.ndarray:
@@ -132,10 +149,10 @@ def _requests(order: int, shards: int):
         for t in runs(batches, ["part"]):
             data, offsets = strings(t["text"])
             p = read_part(data, offsets, order)
-            trained = np.repeat(t["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(float), np.diff(p.ptr))
+            trained = np.repeat(t["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(p.ptr))
             out: dict[str, list] = {c: [] for c in ("part", "k", "shard", "keys", "counts")}
             for k, gram in enumerate(p.grams):
-                keys, _, counts = _distinct(gram, trained)
+                keys, counts = _counted(gram, trained)
                 cut = np.concatenate([[0], np.searchsorted(keys, ends, "right")])
                 for s in range(shards):
                     if cut[s + 1] > cut[s]:
@@ -145,6 +162,8 @@ def _requests(order: int, shards: int):
                         out["keys"].append(pack_sorted(keys[cut[s] : cut[s + 1]]))
                         out["counts"].append(pack_counts(counts[cut[s] : cut[s + 1]]))
             yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "k": pa.array(out["k"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+            del t, data, p, trained, out
+            _release()
 
     return run
 
@@ -195,7 +214,7 @@ class Backoff:
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def language_scores(docs: DataFrame, scratch: Scratch, train, order: int = 2, pull: tuple[float, ...] = (50.0, 10.0), part_rows: int = 8_192, shard_bytes: int = 8 << 20) -> DataFrame:
+def language_scores(docs: DataFrame, scratch: Scratch, train, order: int = 2, pull: tuple[float, ...] = (50.0, 10.0), part_rows: int = 2_048, shard_bytes: int = 8 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     `train` is a condition on doc_id; all rows that meet it are learnt from, all rows are scored. Tokens are words
@@ -228,13 +247,14 @@ def language_scores(docs: DataFrame, scratch: Scratch, train, order: int = 2, pu
         got = {(k, s): c for k, s, c in zip(right["k"].to_pylist(), right["shard"].to_pylist(), right["seen"].to_pylist())}
         counts = []
         for k, gram in enumerate(p.grams):
-            keys, at, _ = _distinct(gram, None)
+            keys, at = np.unique(gram & _EVEN, return_inverse=True)
             cut = np.concatenate([[0], np.searchsorted(keys, ends, "right")])
             seen = np.concatenate([unpack_counts(got[k, s]) for s in range(shards) if cut[s + 1] > cut[s]]) if len(keys) else np.zeros(0, np.int64)
             counts.append(seen[at])
         known = np.concatenate([[0], np.cumsum(counts[0] > 0)])
         base = by_text(np.log10((counts[0] + 0.5) / base_total), p)
         a, b = p.ptr[:-1], p.ptr[1:]
+        _release()
         return pa.table([left["doc_id"], left["train"], pa.array(b - a, pa.int64()), pa.array(known[b] - known[a], pa.int64()), pa.array(base), pa.array(model.traverse(p, counts, starts))], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     scored = parts.groupBy("part").cogroup(answers.select("part", "k", "shard", "seen").groupBy("part")).applyInArrow(run, SCORES)

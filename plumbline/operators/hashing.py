@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import rounded
 from .frames import KEY
@@ -37,7 +38,7 @@ def duplicate_share(hashes: DataFrame, by: list[str], value: str = "hash") -> Da
     return g.select(*by, "n", "kinds", (1 - F.col("kinds") / F.col("n")).alias("dup_frac"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
 

@@ -30,6 +30,13 @@ def read_frames(spark: SparkSession, paths: list[str], dataset, fps, relative_to
     return frames(df, dataset, episode, F.col("__pos"), at("timestamp"), at("frame_index"), at("action"), at("observation.state"), fps, file)
 
 
+def as_uri(path: str) -> str:
+    """A path as an address with a scheme; the file system's own short form file:/x becomes file:///x."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    return path if "://" in path else f"file://{path}"
+
+
 def readable(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """paths (path) -> path, columns, error: footers alone, on the executors, so that one broken file costs itself and
     not the job."""
@@ -43,7 +50,7 @@ def readable(spark: SparkSession, paths: DataFrame) -> DataFrame:
             names, errors = [], []
             for p in batch.column(0).to_pylist():
                 try:
-                    store, inside = fs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
+                    store, inside = fs.FileSystem.from_uri(as_uri(p))
                     with store.open_input_file(inside) as f:
                         names.append([c for c in pq.read_schema(f).names if c in COLUMNS])
                     errors.append("")

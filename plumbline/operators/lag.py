@@ -23,9 +23,9 @@ def scores(frames: DataFrame, lags: tuple[int, ...] = LAGS, swapped: bool = Fals
     a, s = ("state", "action") if swapped else ("action", "state")
     cells = df.select(*KEY, "pos", "t", F.posexplode(F.arrays_zip(F.col(a).alias("a"), F.col(s).alias("s"))).alias("dim", "x"))
     cells = cells.select(*KEY, "dim", "pos", "t", F.col("x.a").alias("a"), F.col("x.s").alias("s"))
-    series = Window.partitionBy(*KEY, "dim")
+    order = Window.partitionBy(*KEY, "dim").orderBy("pos")
+    series = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = cells.withColumn("a", F.col("a") - F.avg("a").over(series)).withColumn("s", F.col("s") - F.avg("s").over(series))
-    order = series.orderBy("pos")
     products = [F.when(F.col("t") - abs(k) >= LEAST_OVERLAP, F.col("a") * F.lead("s", k).over(order)).alias(f"p{i}") for i, k in enumerate(lags)]
     cells = cells.select(*KEY, "dim", "a", "s", *products)
     scale = (F.stddev_pop("a") + 1e-9) * (F.stddev_pop("s") + 1e-9)

@@ -15,12 +15,13 @@ from .frames import KEY
 TOLERANCE = 0.25
 
 
-def episode_window():
-    return Window.partitionBy(*KEY)
+def ordered():
+    return Window.partitionBy(*KEY).orderBy("pos")
 
 
-def ordered():
-    return episode_window().orderBy("pos")
+def episode_window():
+    """The whole episode, in the order of the other windows, so that one sort serves all."""
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def stackable(column: str, w) -> Column:

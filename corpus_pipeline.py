@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.base import Scratch, remainder, small_side, table
+from plumbline.llm.base import Scratch, maybe_in, remainder, table
 from plumbline.llm.decontaminate import clean
 from plumbline.llm.mixing import apply_mix
 from plumbline.llm.neardup import near_duplicates
@@ -32,8 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
     scratch = Scratch(spark, "pipeline-near")
     gone = scratch.keep(near_duplicates(docs, scratch, k=5, percent=80).where("not kept").select("doc_id"), "gone")
-    # texts are shuffled only for more ids than can be broadcast
-    return docs.join(small_side(gone, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    # only documents that a bitmap of the ids that go lets through are shuffled to be told from them
+    marked = maybe_in(docs, "doc_id", gone, "doc_id")
+    rest = marked.where("__maybe").join(gone, "doc_id", "left_anti")
+    return marked.where("not __maybe").select(*docs.columns).unionAll(rest.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -69,10 +70,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """A written table as one side of a join: broadcast if it is counted to have `most` rows of a few numbers or fewer,
-    else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= most else df
+def release() -> None:
+    """Hands freed memory of a Python worker back, which arrays of middle size would else keep in the allocators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_column: str, name: str = "__maybe", most_buckets: int = 4_096) -> DataFrame:
+    """rows with a boolean column: false only where the key is none of the ids (a written table).
+
+    The ids go into a bitmap by hash, about 16 bits for each and at most most_buckets * 4 KB in all, whatever their
+    number; that bitmap alone is broadcast. More ids than fit make it let more rows through, never fewer.
+    """
+    bits = 32_768  # of a bucket, as bitmap_construct_agg has it
+    buckets = max(1, min(most_buckets, ids.count() * 16 // bits + 1))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets * bits))
+    held = ids.select(place(id_column).alias("p")).groupBy(F.floor(F.col("p") / bits).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("p") % bits).alias("__bits"))
+    at = rows.withColumn("__at", place(key)).withColumn("__of", F.floor(F.col("__at") / bits))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") % bits / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
+    return at.join(F.broadcast(held), F.col("__of") == F.col("__bucket"), "left").withColumn(name, hit).drop("__at", "__of", "__bucket", "__bits")
 
 
 def remainder(column: str, by: int):

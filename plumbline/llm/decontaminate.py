@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, strings
+from .base import pieces, release, strings
 from .text import SYMBOL, words
 
 
@@ -158,24 +158,19 @@ def automata(benchmark: DataFrame, window: int, block_words: int):
         yield Automaton(held, window)
 
 
-def _scan(blocks: list, window: int):
-    """Function of a string column -> (words, hit, items by text) for each piece of rows."""
+def _scan(blocks: list):
+    """Function of a string column -> (first row, last row, words, hit, items by text) for one piece of rows after
+    another."""
 
-    def scan(column):
-        data, offsets = strings(column)
-        found = []
-        for a, b in pieces(offsets):
+    def scan(data, offsets):
+        for a, b in pieces(offsets, 2 << 20 if len(blocks) < 2 else 16 << 20):
             w = words(data, offsets[a : b + 1], SYMBOL)
-            found.append((a, b, w, np.zeros(len(w.hash), bool), {}))
-        for block in blocks:
-            automaton = block.value
-            for _, _, w, hit, items in found:
-                automaton.mark(w.hash, w.text, hit, items)
-            if len(blocks) > 1:  # one block in memory at a time; it stays on the executor's disk
-                del automaton
-                if hasattr(block, "_value"):
-                    del block._value
-        return data, offsets, found
+            hit, items = np.zeros(len(w.hash), bool), {}
+            for block in blocks:
+                block.value.mark(w.hash, w.text, hit, items)
+                if len(blocks) > 1 and hasattr(block, "_value"):
+                    del block._value  # one block in memory at a time; it stays on the executor's disk
+            yield a, b, w, hit, items
 
     return scan
 
@@ -194,19 +189,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words:
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
-    scan = _scan(blocks, window)
+    scan = _scan(blocks)
 
     def run(batches):
         for batch in batches:
-            _, _, found = scan(batch.column(1))
             n_words, n_hit, names = [], [], []
-            for a, b, w, hit, items in found:
+            for a, b, w, hit, items in scan(*strings(batch.column(1))):
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 n_words.append(np.diff(w.text))
                 n_hit.append(sums[w.text[1:]] - sums[w.text[:-1]])
                 names += [sorted(items.get(t, ())) for t in range(b - a)]
             both = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (n_words, n_hit)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *both, pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
 
@@ -219,16 +214,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
-    scan = _scan(blocks, window)
+    scan = _scan(blocks)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            data, offsets, found = scan(batch.column(at))
+            data, offsets = strings(batch.column(at))
             changed, keep = {}, np.ones(batch.num_rows, bool)
-            for a, _, w, hit, _ in found:
+            for a, _, w, hit, _ in scan(data, offsets):
                 for t in np.unique(np.searchsorted(w.text, np.flatnonzero(hit), "right") - 1).tolist():
                     lo, hi = int(w.text[t]), int(w.text[t + 1])
                     own = hit[lo:hi]
@@ -253,6 +248,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
                         counts[i] = len(x)
                     batch = batch.set_column(counted, names[counted], pa.array(counts, batch.schema.field(counted).type))
             yield batch if keep.all() else batch.filter(pa.array(keep))
+            del batch, data, changed
+            release()
 
     return docs.mapInArrow(run, schema)
 

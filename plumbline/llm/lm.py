@@ -19,7 +19,6 @@ automaton its own texts can reach. So memory is bounded by the part and the shar
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, remainder, runs, strings
+from .base import Scratch, release, runs, strings
 from .text import SPACE, join, mix, words
 
 END = np.uint64(0x9D5C3A7B12E4F681)
@@ -128,15 +127,6 @@ def _counted(gram: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[begin] & _EVEN, counts
 
 
-def _release() -> None:
-    """Hands freed memory back, which many arrays of middle size would else keep."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def _bounds(shards: int) -> np.ndarray:
     """Upper ends of the shards' ranges of keys."""
     return np.array([(i + 1) * (1 << 64) // shards - 1 for i in range(shards)], np.uint64)
@@ -163,7 +153,7 @@ def _requests(order: int, shards: int):
                         out["counts"].append(pack_counts(counts[cut[s] : cut[s + 1]]))
             yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "k": pa.array(out["k"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
             del t, data, p, trained, out
-            _release()
+            release()
 
     return run
 
@@ -254,7 +244,7 @@ def language_scores(docs: DataFrame, scratch: Scratch, train, order: int = 2, pu
         known = np.concatenate([[0], np.cumsum(counts[0] > 0)])
         base = by_text(np.log10((counts[0] + 0.5) / base_total), p)
         a, b = p.ptr[:-1], p.ptr[1:]
-        _release()
+        release()
         return pa.table([left["doc_id"], left["train"], pa.array(b - a, pa.int64()), pa.array(known[b] - known[a], pa.int64()), pa.array(base), pa.array(model.traverse(p, counts, starts))], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     scored = parts.groupBy("part").cogroup(answers.select("part", "k", "shard", "seen").groupBy("part")).applyInArrow(run, SCORES)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, pieces, runs, small_side, strings
+from .base import Scratch, maybe_in, pieces, release, runs, strings
 from .components import components
 from .text import SPACE, mix, shingles, words
 
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             data, offsets = strings(batch.column(1))
             parts = []
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, 2 << 20):
                 sets, ptr = shingles(words(data, offsets[a : b + 1], SPACE), k)
                 n = np.diff(ptr)
                 some = np.flatnonzero(n)
@@ -116,6 +116,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
                 )
+            parts.clear()
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -270,17 +272,18 @@ def candidate_edges(reps: DataFrame, scratch: Scratch, least: int, most: int = 2
     return edges.unionAll(starred.where("near and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionAll(pairs.select("a", "b"))
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20) -> DataFrame:
     """docs (doc_id, text), clusters (node, component) -> edges that connect what pairs of at least percent connect.
 
-    Up to broadcast_rows members (two numbers each, counted first) are broadcast to the texts; for more of them texts are
-    shuffled. A cluster of up to block_bytes of text is one unit of work. A larger one is cut into blocks, and each pair of
+    Texts are shuffled to their clusters after a bitmap of bounded size has let most of the others go. A cluster of up
+    to block_bytes of text is one unit of work. A larger one is cut into blocks, and each pair of
     blocks is a unit, so that a task holds two blocks at most and every pair of documents meets.
     """
-    clusters = small_side(scratch.keep(clusters, "clusters"), broadcast_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(clusters, "node").select(F.col("component").alias("cluster"), "node", "text")
+    clusters = scratch.keep(clusters, "clusters")
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", clusters, "node").where("__maybe").drop("__maybe")
+    texts = texts.join(clusters, "node").select(F.col("component").alias("cluster"), "node", "text")
     texts = scratch.keep(texts, "texts")
-    sizes = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks")).where("blocks > 1").hint("rebalance")
     cut = texts.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import pieces, strings
+from .base import pieces, release, strings
 from .text import SPACE, join, mix, words
 
 FEATURES = 1 << 18
@@ -198,7 +198,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = strings(batch.column(at))
-            parts = [held.value.score(*features(data, offsets[a : b + 1])) for a, b in pieces(offsets)]
+            parts = [held.value.score(*features(data, offsets[a : b + 1])) for a, b in pieces(offsets, 2 << 20)]
+            release()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*names, "__score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, pieces, strings
+from .base import Scratch, pieces, release, strings
 
 MAGIC = b"PLUMBIT1"
 BLOCK = 4096
@@ -268,6 +268,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id
                 ids, lengths = enc.encode(data, offsets[a : b + 1])
                 out.add(batch.column(0).slice(a, b - a), ids, lengths)
             n_docs += batch.num_rows
+            release()
         if n_docs:
             task = TaskContext.get()
             path = f"{root}/shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bits"

@@ -185,3 +185,40 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_licenses"] = op2_licenses
+
+ORACLE["op6_near_duplicates"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+s as (
+  select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) when len(w) = 1 then w else [] end) as s from d
+),
+n as (select doc_id, len(s) as n from s),
+x as (select doc_id, unnest(s) as g from s),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+),
+links as (
+  select a, b from pairs join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)
+),
+edges as (select a, b from links union all select b, a from links),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, e.b from reach r join edges e on r.b = e.a)
+select n.doc_id, cast(n.n as bigint) as n_shingles, r.c as component_id, n.doc_id = r.c as kept
+from n join (select a, min(b) as c from reach group by a) r on r.a = n.doc_id
+"""
+ORACLE["op10_near_vectors"] = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+),
+u as (
+  select vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_inner_product(a.e, b.e) >= 0.98::double),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a, min(b) as c from reach group by a),
+n as (select a, count(*) as n from links group by a)
+select v.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, c.c as component_id, v.vec_id = c.c as kept
+from v join c on c.a = v.vec_id left join n on n.a = v.vec_id
+"""

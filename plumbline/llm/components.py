@@ -19,9 +19,10 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     mark = None
     for _ in range(most):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # dealt anew, so that both sides of the join are plain exchanges and a hub's partition can be split
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         new = scratch.keep(small.where("a <> b").distinct(), "edges")
         scratch.drop(now)

@@ -95,7 +95,7 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 40,
     store = LineRuns(scratch, fanout)
     for b in range(batches):
         store.add(lines.where(F.col("batch") == b).drop("batch"))
-    repeated = store.merged().where(F.col("docs") >= min_docs)
+    repeated = store.merged().where(F.col("docs") >= min_docs).hint("rebalance")  # a line of many can then be split
     drops = (
         lines.join(repeated, list(_RUN))
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))

@@ -222,3 +222,56 @@ n as (select a, count(*) as n from links group by a)
 select v.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, c.c as component_id, v.vec_id = c.c as kept
 from v join c on c.a = v.vec_id left join n on n.a = v.vec_id
 """
+
+
+def _licenses_sql() -> str:
+    from .licenses import CUES, FILE_NAMES, TEMPLATES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in TEMPLATES.items() for text in texts)
+    word = r"'[^\x20\x09-\x0D]+'"
+    return rf"""
+with t(license, text) as (values {known}),
+base as (
+  select doc_id, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'), cast(doc_id as varchar)) as path, text from documents
+),
+lined as (select *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {quoted(CUES)})) as lines from base),
+found as (
+  select *, len(regexp_extract_all(array_to_string(lines, chr(10)), {word}))::double / greatest(len(regexp_extract_all(text, {word})), 1) as share
+  from lined where len(lines) > 0
+),
+passages as (select distinct unnest(lines) as text from found),
+rows as (select text as key, text, null as license from passages union all select license || text, text, license from t),
+words as (select key, license, regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*') as w from rows),
+terms as (
+  select key, license, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words
+),
+tf as (select key, license, term, count(*) as tf from terms group by all),
+df as (select term, count(*) as df from tf group by term),
+x as (select key, license, tf.term, (1 + ln(tf)) * (ln(((select count(*) from rows) + 1)::double / (df + 1)) + 1) as x from tf join df on tf.term = df.term),
+norms as (select key, license, sqrt(sum(x * x)) as norm from x group by key, license),
+v as (select x.key, x.license, term, x / norm as x from x join norms on x.key = norms.key and x.license is not distinct from norms.license),
+near as (
+  select p.key, t.key as template, t.license, round(sum(p.x * t.x), 9) as score from v p join v t on p.term = t.term and p.license is null and t.license is not null
+  group by p.key, t.key, t.license having round(sum(p.x * t.x), 9) >= 0.6::double
+),
+best as (select key, arg_min(license, (-score, license)) as license, max(score) as score from near group by key),
+hits as (select doc_id, path, share, unnest(lines) as text from found),
+own as (
+  select doc_id, path, arg_min(best.license, (-score, best.license)) as license, max(score) as score, max(share) as share
+  from hits join best on best.key = hits.text group by doc_id, path
+),
+given as (
+  select regexp_replace(path, '/?[^/]*$', '') as dir, arg_min(license, (-score, license)) as license, max(score) as score
+  from own where regexp_matches(path, {quoted(FILE_NAMES)}) or share >= 0.5 group by 1
+),
+dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as d from base),
+up as (select d, i as depth, array_to_string(list_slice(string_split(d, '/'), 1, i), '/') as dir from (select d, unnest(range(0, len(string_split(d, '/')) + 1)) as i from dirs)),
+nearest as (select d, arg_max(up.dir, depth) as dir, arg_max(license, depth) as license, arg_max(score, depth) as score from up join given on up.dir = given.dir group by d)
+select b.doc_id, b.path, coalesce(o.license, n.license) as license, coalesce(o.score, n.score) as score,
+  case when o.license is not null then 'own' when n.license is not null then 'inherited' end as origin, case when o.license is null then n.dir end as directory
+from base b left join own o on b.doc_id = o.doc_id and b.path = o.path left join nearest n on n.d = regexp_replace(b.path, '/?[^/]*$', '')
+"""
+
+
+ORACLE["op2_licenses"] = _licenses_sql()

@@ -2,7 +2,8 @@
 
 A source whose target is r times its size takes floor(r) whole copies of every document. The rest is a sample without
 replacement of fixed size in words: documents rank by their random odds over their inclusion odds, and those that come
-first are taken until the missing words are reached to within half a document.
+first are taken while they fit. What is then missing, less than the next document, is filled by further rounds in the
+same order among documents that fit, and at last by the one document whose size is nearest to what is missing.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], most: float) -> DataF
     return s.select("source", "source_size", F.when(F.col("capped") | F.col("level").isNull(), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
+def _words():
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def _uid(seed: int):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
 
@@ -57,35 +62,72 @@ def _with_plan(rows: DataFrame, plan: DataFrame, few: int, salts: int = 64) -> D
     return rows.join(salted, F.col("source").eqNullSafe(F.col("__of")) & (F.pmod(F.xxhash64("__uid"), F.lit(salts)) == F.col("__salt"))).drop("__salt")
 
 
+ROUNDS = 3
+
+
+def _before(j: int):
+    """Whether a row's rank comes no later than where round j stopped."""
+    return (F.col("__bin") < F.col(f"__last{j}")) | ((F.col("__bin") == F.col(f"__last{j}")) & F.coalesce(F.col("__rank") <= F.col(f"__cut{j}"), F.lit(False)))
+
+
+def _candidate(j: int):
+    """Rows that round j looks at: after the stop of the round before, and not larger than what was missing then."""
+    fits = F.col("__odds").isNotNull() if j == 0 else F.col("__odds").isNotNull() & ~_before(j - 1) & (F.col("__size") <= F.col(f"__room{j}"))
+    return F.coalesce(fits, F.lit(False))
+
+
+def _sampled(rounds: int):
+    out = F.lit(False)
+    for j in range(rounds):
+        out = out | (_candidate(j) & _before(j))
+    return out
+
+
+def _round(sizes: DataFrame, s: DataFrame, j: int, scratch: Scratch, bins: int, few: int) -> DataFrame:
+    """Adds to the sources where round j stops (__last, __cut) and what is missing after it (__need)."""
+    rows = _ranked(_with_plan(sizes, s, few), bins).where(_candidate(j))
+    sums = rows.groupBy("__of", "__need", "__bin").agg(F.sum("__size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("__of").orderBy("__bin"))
+    sums = sums.withColumn("upto", upto).groupBy("__of").agg(
+        F.min(F.when(F.col("upto") > F.col("__need"), F.struct("__bin", (F.col("upto") - F.col("words")).alias("before")))).alias("x"), F.max("upto").alias("all")
+    )
+    stop = sums.select(F.col("__of").alias("__ends"), F.coalesce("x.__bin", F.lit(bins)).alias(f"__last{j}"), F.coalesce("x.before", "all").alias("__got"))
+    s = scratch.keep(s.join(stop, F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends"), "ends")
+
+    # equal ids with equal texts share a rank and so their fate
+    edge = _ranked(_with_plan(sizes, s, few), bins).where(_candidate(j) & (F.col("__bin") == F.col(f"__last{j}")))
+    edge = edge.groupBy("__of", "__rank", "__need", "__got").agg(F.sum("__size").alias("words"))
+    sofar = F.col("__got") + F.sum("words").over(Window.partitionBy("__of").orderBy("__rank"))
+    cut = edge.withColumn("sofar", sofar).where("sofar <= __need").groupBy("__of").agg(F.max("__rank").alias(f"__cut{j}"), F.max("sofar").alias("__more"))
+    s = s.join(cut.withColumnRenamed("__of", "__ends"), F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends")
+    s = s.withColumn("__need", F.col("__need") - F.coalesce("__more", "__got", F.lit(0))).drop("__more", "__got")
+    return scratch.keep(s.withColumn(f"__room{j + 1}", F.col("__need")), "round")
+
+
 def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: float, seed: int, bins: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """The sizes of all documents, and for each source how many whole copies it takes and where its sample ends."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sizes = scratch.keep(docs.select("doc_id", "source", words.alias("size"), _uid(seed).alias("__uid")), "sizes")
-    s = _targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    """The sizes of all documents, and for each source how many whole copies it takes and which ranks its sample has."""
+    sizes = scratch.keep(docs.select("doc_id", "source", _words().alias("__size"), _uid(seed).alias("__uid")), "sizes")
+    s = _targets(sizes.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, most)
     s = s.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     s = s.withColumn("__whole", F.floor("ratio")).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size"))
     s = s.withColumn("__odds", F.when((F.col("__need") > 0) & (F.col("__need") < F.col("source_size")), F.col("__need") / (F.col("source_size") - F.col("__need"))))
     s = scratch.keep(s.drop("ratio").withColumnRenamed("source", "__of"), "sources")
+    for j in range(ROUNDS):
+        s = _round(sizes, s, j, scratch, bins, few)
+    rest = _ranked(_with_plan(sizes, s, few), bins).where(F.col("__odds").isNotNull() & ~_sampled(ROUNDS))
+    off = F.abs(F.col("__need") - F.col("__size"))
+    last = rest.where(off < F.col("__need")).groupBy("__of").agg(F.min(F.struct(off.alias("off"), "__rank", "__uid"))["__uid"].alias("__closing"))
+    s = s.join(last.withColumnRenamed("__of", "__ends"), F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends")
+    return sizes, scratch.keep(s, "plan")
 
-    ranked = _with_plan(sizes, s, few).where("__odds is not null").withColumn("__rank", _rank()).withColumn("__bin", _bin(bins))
-    sums = ranked.groupBy("__of", "__need", "__bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("__of").orderBy("__bin"))
-    last = sums.withColumn("upto", upto).where("upto > __need").groupBy("__of").agg(F.min(F.struct("__bin", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-    s = s.join(last.select(F.col("__of").alias("__ends"), F.col("x.__bin").alias("__last"), F.col("x.before").alias("__before")), F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends")
-    s = scratch.keep(s, "ends")
 
-    # equal ids with equal texts share a rank and so their fate
-    edge = _with_plan(sizes, s, few).withColumn("__rank", _rank()).where(_bin(bins) == F.col("__last"))
-    edge = edge.groupBy("__of", "__rank", "__need", "__before").agg(F.sum("size").alias("words"))
-    sofar = F.col("__before") + F.coalesce(F.sum("words").over(Window.partitionBy("__of").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = edge.withColumn("sofar", sofar).where(F.col("sofar") + F.col("words") / 2 <= F.col("__need")).groupBy("__of").agg(F.max("__rank").alias("__cut"))
-    s = s.join(cut.withColumnRenamed("__of", "__ends"), F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends")
-    return sizes, scratch.keep(s, "plan")
+def _ranked(rows: DataFrame, bins: int) -> DataFrame:
+    return rows.withColumn("__rank", _rank()).withColumn("__bin", _bin(bins))
 
 
-def _copies(bins: int):
-    extra = F.when(F.col("__bin") < F.col("__last"), 1).when((F.col("__bin") == F.col("__last")) & (F.col("__rank") <= F.col("__cut")), 1).otherwise(0)
-    return (F.col("__whole") + extra).cast("long")
+def _copies():
+    extra = F.coalesce(_sampled(ROUNDS), F.lit(False)) | F.coalesce(F.col("__uid") == F.col("__closing"), F.lit(False))
+    return (F.col("__whole") + extra.cast("int")).cast("long")
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, bins: int = 4096, few: int = 50_000) -> DataFrame:
@@ -96,17 +138,17 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, m
     documents and sources of size 0 take nothing. An empty table gives no rows; other columns are ignored.
 
     No source meets in one task: words are summed by (source, bin of the rank), so that a prefix sum over bins finds
-    the one bin in which the sample ends, and only documents of that bin are sorted to find the last rank taken.
+    the one bin in which a round ends, and only documents of that bin are sorted to find the last rank taken.
     """
     sizes, plan = mix_plan(docs, scratch, weights, most, seed, bins, few)
-    out = _with_plan(sizes, plan, few).withColumn("__rank", _rank()).withColumn("__bin", _bin(bins)).withColumn("copies", _copies(bins))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = _ranked(_with_plan(sizes, plan, few), bins).withColumn("copies", _copies())
+    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, bins: int = 4096, few: int = 50_000) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, without a shuffle of texts; columns stay."""
     _, plan = mix_plan(docs, scratch, weights, most, seed, bins, few)
-    plan = plan.select("__of", "__whole", "__odds", "__last", "__cut")
-    rows = _with_plan(docs.withColumn("__uid", _uid(seed)), plan, few).withColumn("__rank", _rank()).withColumn("__bin", _bin(bins))
-    rows = rows.withColumn("__copies", _copies(bins)).where("__copies > 0")
+    plan = plan.drop("source_size", "target", "__need")
+    rows = docs.withColumn("__uid", _uid(seed)).withColumn("__size", _words())
+    rows = _ranked(_with_plan(rows, plan, few), bins).withColumn("__copies", _copies()).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -97,13 +97,27 @@ ranked as (
            / (need / (p.source_size - need)) end as rank
   from docs d join plan p on d.source is not distinct from p.source
 ),
-summed as (
-  select source, rank, coalesce(sum(sum(size)) over (partition by source order by rank rows between unbounded preceding and 1 preceding), 0) as sofar, sum(size) as words
-  from ranked where rank is not null group by source, rank
-)
-select r.doc_id, r.size, r.source_size, r.target,
-       cast((r.whole + case when r.rank is not null and s.sofar + s.words / 2.0::double <= r.need then 1 else 0 end) * r.size as bigint) as taken
-from ranked r left join summed s on r.source is not distinct from s.source and r.rank = s.rank
+g as (
+  select source, rank, min(size) as size, sum(size) as words, min(uid) as uid, any_value(need) as need from ranked where rank is not null group by source, rank
+),
+c0 as (select *, sum(words) over (partition by source order by rank) as cum from g),
+t0 as (select * from c0 where cum <= need),
+r0 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, coalesce(max(t.rank), -1.0::double) as stop from (select source, any_value(need) as need from g group by source) p left join t0 t on t.source is not distinct from p.source group by p.source, p.need),
+c1 as (select g.source, g.rank, g.words, r.need, sum(g.words) over (partition by g.source order by g.rank) as cum from g join r0 r on g.source is not distinct from r.source where g.rank > r.stop and g.size <= r.need),
+t1 as (select * from c1 where cum <= need),
+r1 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, greatest(p.stop, coalesce(max(t.rank), -1.0::double)) as stop from r0 p left join t1 t on t.source is not distinct from p.source group by p.source, p.need, p.stop),
+c2 as (select g.source, g.rank, g.words, r.need, sum(g.words) over (partition by g.source order by g.rank) as cum from g join r1 r on g.source is not distinct from r.source where g.rank > r.stop and g.size <= r.need),
+t2 as (select * from c2 where cum <= need),
+r2 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, greatest(p.stop, coalesce(max(t.rank), -1.0::double)) as stop from r1 p left join t2 t on t.source is not distinct from p.source group by p.source, p.need, p.stop),
+sampled as (select source, rank from t0 union select source, rank from t1 union select source, rank from t2),
+closing as (
+  select g.source, arg_min(g.rank, (abs(r.need - g.size), g.rank)) as rank
+  from g join r2 r on g.source is not distinct from r.source left join sampled s on s.source is not distinct from g.source and s.rank = g.rank
+  where s.rank is null and abs(r.need - g.size) < r.need group by g.source
+),
+extra as (select source, rank from sampled union select source, rank from closing)
+select r.doc_id, r.size, r.source_size, r.target, cast((r.whole + case when e.rank is not null then 1 else 0 end) * r.size as bigint) as taken
+from ranked r left join extra e on r.source is not distinct from e.source and r.rank = e.rank
 """
 
 

@@ -272,18 +272,21 @@ def candidate_edges(reps: DataFrame, scratch: Scratch, least: int, most: int = 2
     return edges.unionAll(starred.where("near and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionAll(pairs.select("a", "b"))
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20) -> DataFrame:
+def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20, one_task: int = 256) -> DataFrame:
     """docs (doc_id, text), clusters (node, component) -> edges that connect what pairs of at least percent connect.
 
     Texts are shuffled to their clusters after a bitmap of bounded size has let most of the others go. A cluster of up
-    to block_bytes of text is one unit of work. A larger one is cut into blocks, and each pair of
-    blocks is a unit, so that a task holds two blocks at most and every pair of documents meets.
+    to block_bytes of text and one_task documents is one unit of work. A larger one is cut into blocks, more of them the
+    more documents it has, and each pair of blocks is a unit, so that a task holds two blocks at most, the work on a
+    large cluster is spread, and every pair of documents meets.
     """
     clusters = scratch.keep(clusters, "clusters")
     texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", clusters, "node").where("__maybe").drop("__maybe")
     texts = texts.join(clusters, "node").select(F.col("component").alias("cluster"), "node", "text")
     texts = scratch.keep(texts, "texts")
-    sizes = texts.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / block_bytes).cast("int").alias("blocks")).where("blocks > 1").hint("rebalance")
+    full = F.ceil(F.sum(F.octet_length("text")) / block_bytes)
+    many = F.when(F.count("*") > one_task, F.ceil(F.sqrt(F.count("*")) / 3)).otherwise(1)
+    sizes = texts.groupBy("cluster").agg(F.greatest(full, many).cast("int").alias("blocks")).where("blocks > 1").hint("rebalance")
     cut = texts.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -23,8 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session sets none: texts are wide, and the engine's own default of 10,000 rows would
+#: hold tens of MB several times over.
+BATCH_ROWS = 2_048
+
+
 def ship(spark: SparkSession) -> None:
     """Hands the package to the executors, once for each context, so that it need not be installed there."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_plumbline_shipped", False):
         return

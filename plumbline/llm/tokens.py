@@ -268,14 +268,16 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id
                 ids, lengths = enc.encode(data, offsets[a : b + 1])
                 out.add(batch.column(0).slice(a, b - a), ids, lengths)
             n_docs += batch.num_rows
-            release()
         if n_docs:
             task = TaskContext.get()
             path = f"{root}/shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bits"
             store, name = fs.FileSystem.from_uri(path)
             with store.open_output_stream(name) as stream:
                 out.write(stream)
-            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [out.n_ids]})
+            n_ids = out.n_ids
+            del out
+            release()
+            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.withColumn("__tie", order[1]).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "__tie")

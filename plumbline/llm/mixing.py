@@ -65,43 +65,38 @@ def _with_plan(rows: DataFrame, plan: DataFrame, few: int, salts: int = 64) -> D
 ROUNDS = 3
 
 
-def _before(j: int):
-    """Whether a row's rank comes no later than where round j stopped."""
-    return (F.col("__bin") < F.col(f"__last{j}")) | ((F.col("__bin") == F.col(f"__last{j}")) & F.coalesce(F.col("__rank") <= F.col(f"__cut{j}"), F.lit(False)))
-
-
-def _candidate(j: int):
-    """Rows that round j looks at: after the stop of the round before, and not larger than what was missing then."""
-    fits = F.col("__odds").isNotNull() if j == 0 else F.col("__odds").isNotNull() & ~_before(j - 1) & (F.col("__size") <= F.col(f"__room{j}"))
-    return F.coalesce(fits, F.lit(False))
-
-
 def _sampled(rounds: int):
-    out = F.lit(False)
+    """Round j takes the ranks after the stop of the round before, up to its own, of documents that fit its room."""
+    out = F.when(F.col("__odds").isNull(), False)
     for j in range(rounds):
-        out = out | (_candidate(j) & _before(j))
-    return out
+        fits = F.lit(True) if j == 0 else F.col("__size") <= F.col(f"__room{j}")
+        out = out.when(F.col("__rank") <= F.col(f"__stop{j}"), fits)
+    return out.otherwise(False)
 
 
 def _round(sizes: DataFrame, s: DataFrame, j: int, scratch: Scratch, bins: int, few: int) -> DataFrame:
-    """Adds to the sources where round j stops (__last, __cut) and what is missing after it (__need)."""
-    rows = _ranked(_with_plan(sizes, s, few), bins).where(_candidate(j))
-    sums = rows.groupBy("__of", "__need", "__bin").agg(F.sum("__size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("__of").orderBy("__bin"))
-    sums = sums.withColumn("upto", upto).groupBy("__of").agg(
-        F.min(F.when(F.col("upto") > F.col("__need"), F.struct("__bin", (F.col("upto") - F.col("words")).alias("before")))).alias("x"), F.max("upto").alias("all")
-    )
-    stop = sums.select(F.col("__of").alias("__ends"), F.coalesce("x.__bin", F.lit(bins)).alias(f"__last{j}"), F.coalesce("x.before", "all").alias("__got"))
-    s = scratch.keep(s.join(stop, F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends"), "ends")
+    """Adds to the sources the last rank that round j takes (__stop) and what is missing after it (__need, __room)."""
+    before = F.lit(-1.0) if j == 0 else F.col(f"__stop{j - 1}")
+    candidate = F.col("__odds").isNotNull() & (F.lit(True) if j == 0 else (F.col("__rank") > before) & (F.col("__size") <= F.col(f"__room{j}")))
+    rows = _ranked(_with_plan(sizes, s, few), bins).where(candidate)
+    sums = rows.groupBy("__of", "__need", "__bin").agg(F.sum("__size").alias("words"), F.max("__rank").alias("top"))
+    order = Window.partitionBy("__of").orderBy("__bin")
+    sums = sums.withColumn("upto", F.sum("words").over(order)).withColumn("under", F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    over = F.when(F.col("upto") > F.col("__need"), F.struct("__bin", (F.col("upto") - F.col("words")).alias("got"), "under"))
+    sums = sums.groupBy("__of").agg(F.min(over).alias("x"), F.max("upto").alias("all"))
+    # where all candidates fit, the round has no stop
+    under = F.when(F.col("x").isNull(), F.lit(float("inf"))).otherwise(F.col("x.under"))
+    ends = sums.select(F.col("__of").alias("__ends"), F.col("x.__bin").alias("__last"), F.coalesce("x.got", "all").alias("__got"), under.alias("__under"))
+    s = scratch.keep(s.join(ends, F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends"), "ends")
 
     # equal ids with equal texts share a rank and so their fate
-    edge = _ranked(_with_plan(sizes, s, few), bins).where(_candidate(j) & (F.col("__bin") == F.col(f"__last{j}")))
+    edge = _ranked(_with_plan(sizes, s, few), bins).where(candidate & (F.col("__bin") == F.col("__last")))
     edge = edge.groupBy("__of", "__rank", "__need", "__got").agg(F.sum("__size").alias("words"))
     sofar = F.col("__got") + F.sum("words").over(Window.partitionBy("__of").orderBy("__rank"))
-    cut = edge.withColumn("sofar", sofar).where("sofar <= __need").groupBy("__of").agg(F.max("__rank").alias(f"__cut{j}"), F.max("sofar").alias("__more"))
+    cut = edge.withColumn("sofar", sofar).where("sofar <= __need").groupBy("__of").agg(F.max("__rank").alias("__cut"), F.max("sofar").alias("__more"))
     s = s.join(cut.withColumnRenamed("__of", "__ends"), F.col("__of").eqNullSafe(F.col("__ends")), "left").drop("__ends")
-    s = s.withColumn("__need", F.col("__need") - F.coalesce("__more", "__got", F.lit(0))).drop("__more", "__got")
-    return scratch.keep(s.withColumn(f"__room{j + 1}", F.col("__need")), "round")
+    s = s.withColumn(f"__stop{j}", F.coalesce("__cut", "__under", before)).withColumn("__need", F.col("__need") - F.coalesce("__more", "__got", F.lit(0)))
+    return scratch.keep(s.withColumn(f"__room{j + 1}", F.col("__need")).drop("__more", "__got", "__cut", "__under", "__last"), "round")
 
 
 def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...], most: float, seed: int, bins: int, few: int) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +121,7 @@ def _ranked(rows: DataFrame, bins: int) -> DataFrame:
 
 
 def _copies():
-    extra = F.coalesce(_sampled(ROUNDS), F.lit(False)) | F.coalesce(F.col("__uid") == F.col("__closing"), F.lit(False))
+    extra = _sampled(ROUNDS) | F.coalesce(F.col("__uid") == F.col("__closing"), F.lit(False))
     return (F.col("__whole") + extra.cast("int")).cast("long")
 
 
@@ -148,7 +143,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, m
 def apply_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, bins: int = 4096, few: int = 50_000) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, without a shuffle of texts; columns stay."""
     _, plan = mix_plan(docs, scratch, weights, most, seed, bins, few)
-    plan = plan.drop("source_size", "target", "__need")
+    plan = plan.drop("source_size", "target", "__need", f"__room{ROUNDS}")
     rows = docs.withColumn("__uid", _uid(seed)).withColumn("__size", _words())
     rows = _ranked(_with_plan(rows, plan, few), bins).withColumn("__copies", _copies()).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

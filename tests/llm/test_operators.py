@@ -475,3 +475,27 @@ def test_near_vectors_are_the_plain_links(spark, scratch):
                     todo.append(j)
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen), min(seen) == i)
     assert vectors.near_vectors(df.limit(0), scratch).count() == 0
+
+
+def plain_groups(rows, threshold=0.98):
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= threshold
+    np.fill_diagonal(near, False)
+    lowest = np.arange(len(m))
+    while True:
+        new = np.minimum(lowest, np.where(near, lowest[None, :], len(m)).min(1))
+        if (new == lowest).all():
+            return {r[0]: (int(near[i].sum()), rows[lowest[i]][0]) for i, r in enumerate(rows)}
+        lowest = new
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-5])
+def test_near_vectors_join_groups_with_full_lists(spark, scratch, noise):
+    """60 copies of x and 60 of y with a cosine of 0.985, equal or nearly so; no id is divisible by 20."""
+    rng = np.random.default_rng(3)
+    x, y = np.eye(16)[0], np.eye(16)[0] * 0.985 + np.eye(16)[1] * (1 - 0.985**2) ** 0.5
+    rows = [(20 * i + 1 + (i % 2), [float(a) for a in (x if i % 2 else y) + rng.standard_normal(16) * noise], 0) for i in range(120)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_groups(rows)
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(119, 1)}

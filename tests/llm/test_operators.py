@@ -499,3 +499,15 @@ def test_near_vectors_join_groups_with_full_lists(spark, scratch, noise):
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_groups(rows)
     assert {(r["n_links"], r["component_id"]) for r in got} == {(119, 1)}
+
+
+def test_near_vectors_small_groups_beside_a_large_one(spark, scratch):
+    """A graph that hardly starts and descends one round misses pairs, which a large group's links must not hide."""
+    rng = np.random.default_rng(4)
+    centres = [rng.standard_normal(16) for _ in range(151)]
+    members = [centres[0]] * 400 + [c for c in centres[1:] for _ in range(2)]
+    rows = [(i, [float(a) for a in c + rng.standard_normal(16) * 0.02], 0) for i, c in enumerate(members)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for more in ({}, {"fewest": 1, "least_recall": 1.0}):
+        got = vectors.near_vectors(df, scratch, k=4, tables=1, reach=1, most_rounds=1, attempts=1, every=7, **more).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_groups(rows)

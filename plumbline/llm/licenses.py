@@ -1,13 +1,17 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Passages are the lines of a document that speak of a licence. Their words and word pairs, weighted by TF-IDF with
-document frequencies over all distinct passages of the corpus and all templates, are compared with each template by
-cosine. A document that is a licence file, by its name or because most of its words are licence passages, gives its
+Passages are the lines of a document that speak of a licence, the blocks of lines around them (paragraphs and headers in
+comments) and the whole text. Lines are compared with short notices, blocks with whole headers and whole licences
+too, the whole text with whole licences. Their words and word pairs, weighted by TF-IDF with
+document frequencies over all distinct lines of the corpus and all short notices, are compared with each template by
+cosine. A document that is a licence file, by its name or because most of its words are licence lines or its text is near a whole licence, gives its
 licence to its directory; documents without one of their own take that of the nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +32,38 @@ TEMPLATES = {
     "CC0-1.0": ["CC0 1.0 Universal Public Domain Dedication", "To the extent possible under law, the author has waived all copyright and related rights to this work"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Notices that stand at the head of a file, over several lines.
+HEADERS = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
 #: Words that open a passage, and names of licence files.
 CUES = r"(?i)licen[cs]|copyright|creative commons|\bcc0\b|free of charge|public domain|redistribut"
 FILE_NAMES = r"(?i)(^|/)(licen[cs]es?|copying|copyright|notice|unlicense)([.-][a-z0-9.-]*)?$"
 
 
+#: A line without letters and digits ends a paragraph; a line that does not start as a comment ends a header.
+_GAP, _CODE = r"\n[^\p{L}\p{N}\n]*(?=\n)", r"\n(?![ \t]*(?:#|//|/\*|\*|--|;|%|<!--))"
+
+
+def full_texts() -> dict[str, str]:
+    """Whole licences by name."""
+    return {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def blocks(text: Column) -> Column:
+    """Paragraphs and headers in comments that hold a cue."""
+    return F.array_distinct(F.filter(F.concat(F.split(text, _GAP), F.split(text, _CODE)), lambda x: x.rlike(CUES)))
+
+
 def terms(text: Column) -> Column:
     """Lower-case words, with inner dots of versions, and pairs of neighbours."""
     w = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
@@ -49,8 +80,12 @@ def _weights(texts: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
     return w.join(norm, "key").select("key", "term", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, list[str]], least: float) -> DataFrame:
-    """passages (text), distinct -> (text, license, score) for those near enough to a template."""
+def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, list[str]], least: float, longer: DataFrame | None = None, headers: dict[str, list[str]] | None = None, full: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """passages (text), distinct -> (text, license, score) for those near enough to a template.
+
+    longer (key, text, whole), distinct -> (key, whole, license, score): blocks against templates, headers and
+    whole licences, whole texts against whole licences alone. They are weighed by the frequencies of the passages.
+    """
     spark = passages.sparkSession
     rows = [(f"{name}\t{i}", t) for name, texts in sorted(templates.items()) for i, t in enumerate(texts)]
     known = spark.createDataFrame(rows, "key string, text string")
@@ -58,17 +93,26 @@ def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, l
     frequency = keyed.unionAll(known).select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     frequency = scratch.keep(frequency, "terms")
     n = keyed.count() + len(rows)
-    own = _weights(keyed, frequency, n)
-    theirs = _weights(known, frequency, n).select(F.col("key").alias("template"), "term", F.col("x").alias("y"))
-    near = own.join(theirs, "term").groupBy("key", "template").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("score")).where(F.col("score") >= least)
-    best = near.groupBy("key").agg(F.min(F.struct(-F.col("score"), F.substring_index("template", "\t", 1).alias("license"))).alias("b"))
-    return best.select(F.col("key").alias("text"), F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+
+    def nearest(own: DataFrame, known: DataFrame) -> DataFrame:
+        theirs = _weights(known, frequency, n).select(F.col("key").alias("template"), "term", F.col("x").alias("y"))
+        near = _weights(own, frequency, n).join(theirs, "term").groupBy("key", "template").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("score")).where(F.col("score") >= least)
+        best = near.groupBy("key").agg(F.min(F.struct(-F.col("score"), F.substring_index("template", "\t", 1).alias("license"))).alias("b"))
+        return best.select("key", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+
+    short = nearest(keyed, known).withColumnRenamed("key", "text")
+    if longer is None:
+        return short, None
+    whole = [(f"{name}\tfull", t) for name, t in sorted((full or {}).items())]
+    more = rows + whole + [(f"{name}\th{i}", t) for name, texts in sorted((headers or {}).items()) for i, t in enumerate(texts)]
+    parts = [nearest(longer.where(cond).select("key", "text"), spark.createDataFrame(ts, "key string, text string")).withColumn("whole", F.lit(flag)) for cond, ts, flag in (("not whole", more, False), ("whole", whole, True)) if ts]
+    return short, parts[0].unionAll(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def scan_licenses(docs: DataFrame, scratch: Scratch, path: Column, templates: dict[str, list[str]] | None = None, least: float = 0.6, file_share: float = 0.5) -> DataFrame:
     """docs (doc_id, text) and an expression for their path -> doc_id, path, license, score, origin, directory.
 
-    origin is 'own' where a passage of the document itself is near a template (the nearest one counts; ties go to the
+    Templates given take the place of all built-in ones. origin is 'own' where a passage of the document itself is near a template (the nearest one counts; ties go to the
     first licence by name), 'inherited' where an ancestor directory has a licence file (directory names it), else null.
     All lines of whole texts are looked at; null and empty texts have none. Repeated rows come back alike; a null path
     inherits nothing. Among several licence files of a directory the nearest to its template counts. Passages are made
@@ -82,9 +126,18 @@ def scan_licenses(docs: DataFrame, scratch: Scratch, path: Column, templates: di
     share = words(F.array_join("lines", "\n")) / F.greatest(words(F.col("text")), F.lit(1))
     found = scratch.keep(found.select("doc_id", "path", "lines", share.alias("share")), "found")
     passages = found.select(F.explode("lines").alias("text")).distinct()
-    matched = scratch.keep(match_passages(passages, scratch, templates or TEMPLATES, least), "matched")
-
-    hits = found.select("doc_id", "path", "share", F.explode("lines").alias("text")).join(matched, "text")
+    cued = base.where(F.col("text").rlike(CUES))
+    pieces = cued.select("doc_id", "path", F.explode(F.concat(F.transform(blocks(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("whole"))), F.array(F.struct("text", F.lit(True).alias("whole"))))).alias("p"))
+    pieces = pieces.select("doc_id", "path", "p.text", "p.whole", F.md5("p.text").alias("key"))
+    longer = scratch.keep(pieces.select("key", "text", "whole").distinct(), "blocks")
+    matched, wider = match_passages(passages, scratch, templates or TEMPLATES, least, longer, None if templates else HEADERS, None if templates else full_texts())
+    matched, wider = scratch.keep(matched, "matched"), scratch.keep(wider, "matched-blocks")
+
+    hits = found.select("doc_id", "path", "share", F.explode("lines").alias("text")).join(matched, "text").select("doc_id", "path", "share", "license", "score")
+    in_blocks = scratch.keep(pieces.select("doc_id", "path", "key", "whole").join(wider, ["key", "whole"]).select("doc_id", "path", "whole", "license", "score"), "hits")
+    shares = found.select("doc_id", "path", "share")
+    together = in_blocks.join(shares.select(F.col("doc_id").alias("d"), F.col("path").alias("p"), "share").distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")))
+    hits = hits.unionAll(together.select("doc_id", "path", F.when(F.col("whole"), 1.0).otherwise(F.col("share")).alias("share"), "license", "score"))
     own = hits.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max("share").alias("share"))
     own = scratch.keep(own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), "share"), "own")
 

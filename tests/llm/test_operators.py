@@ -103,6 +103,20 @@ def test_licenses_own_nearest_ancestor_and_none(spark, scratch):
     assert len(got) == len(rows)
 
 
+def test_licenses_wrapped_headers_and_whole_files(spark, scratch):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint main() {}\n"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"
+    notice = "# Licensed under the Apache License, Version 2.0 (the\n# \"License\"); you may not use this file except in compliance\n# with the License.  You may obtain a copy of the License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os\n"
+    rows = [(1, "m/a.c", mpl, "MPL-2.0"), (2, "g/COPYING", gpl, "GPL-3.0"), (3, "p/LICENSE", apache, "Apache-2.0"), (4, "p/q.py", notice, "Apache-2.0"), (5, "x/y.c", "int x;\n\nint y;", None)]
+    rows += [(10 + i, f"full{i}/text", t, name) for i, (name, t) in enumerate(licenses.full_texts().items())]
+    docs = spark.createDataFrame([(i, t, p) for i, p, t, _ in rows] + [(100 + i, "code", f"full{i}/code.c") for i in range(len(rows) - 5)], "doc_id long, text string, path string")
+    got = by_id(licenses.scan_licenses(docs, scratch, F.col("path")))
+    assert {i: got[i]["license"] for i, *_ in rows} == {i: name for i, _, _, name in rows}
+    # a whole licence is a licence file whatever its name
+    assert {i: (got[i + 90]["license"], got[i + 90]["origin"]) for i, *_ in rows[5:]} == {i: (name, "inherited") for i, _, _, name in rows[5:]}
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------------
 
 

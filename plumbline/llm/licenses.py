@@ -10,8 +10,12 @@ licence to its directory; documents without one of their own take that of the ne
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +84,39 @@ def _weights(texts: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
     return w.join(norm, "key").select("key", "term", (F.col("x") / F.col("norm")).alias("x"))
 
 
+def within_reach(longer: DataFrame, known: DataFrame, frequency: DataFrame, n: int, least: float) -> DataFrame:
+    """Those rows of longer (key, text, whole) that can reach the least cosine to some text of known; no other can.
+
+    A cosine is at most the share of the length that lies in the terms of all known texts, and a term weighs no less
+    than one that is in every passage. So nothing but the rows that stay need the frequencies of all their terms.
+    """
+    met = known.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct().join(frequency, "term", "left").toArrow()
+    idf = {t: math.log((n + 1) / ((df or 0) + 1)) + 1 for t, df in zip(met["term"].to_pylist(), met["df"].to_pylist())}
+    held = longer.sparkSession.sparkContext.broadcast(idf)
+    word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+
+    def run(batches):
+        for batch in batches:
+            stay = []
+            for text in batch.column(3).to_pylist():
+                w = word.findall(text)
+                inside = outside = 0.0
+                for t, tf in Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]).items():
+                    x = 1 + math.log(tf)
+                    if (i := held.value.get(t)) is None:
+                        outside += x * x
+                    else:
+                        inside += x * x * i * i
+                stay.append(inside >= (least * least - 1e-6) * (inside + outside) and inside > 0)
+            yield batch.filter(pa.array(stay, pa.bool_())).select([0, 1, 2])
+
+    return longer.select("key", "text", "whole", F.lower("text").alias("lower")).mapInArrow(run, "key string, text string, whole boolean")
+
+
 def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, list[str]], least: float, longer: DataFrame | None = None, headers: dict[str, list[str]] | None = None, full: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """passages (text), distinct -> (text, license, score) for those near enough to a template.
 
-    longer (key, text, whole), distinct -> (key, whole, license, score): blocks against templates, headers and
+    longer (key, text, whole) -> (key, whole, license, score): blocks against templates, headers and
     whole licences, whole texts against whole licences alone. They are weighed by the frequencies of the passages.
     """
     spark = passages.sparkSession
@@ -105,6 +138,8 @@ def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, l
         return short, None
     whole = [(f"{name}\tfull", t) for name, t in sorted((full or {}).items())]
     more = rows + whole + [(f"{name}\th{i}", t) for name, texts in sorted((headers or {}).items()) for i, t in enumerate(texts)]
+    every = spark.createDataFrame(more, "key string, text string")
+    longer = scratch.keep(within_reach(longer, every, frequency, n, least).distinct(), "blocks")
     parts = [nearest(longer.where(cond).select("key", "text"), spark.createDataFrame(ts, "key string, text string")).withColumn("whole", F.lit(flag)) for cond, ts, flag in (("not whole", more, False), ("whole", whole, True)) if ts]
     return short, parts[0].unionAll(parts[1]) if len(parts) > 1 else parts[0]
 
@@ -129,7 +164,7 @@ def scan_licenses(docs: DataFrame, scratch: Scratch, path: Column, templates: di
     cued = base.where(F.col("text").rlike(CUES))
     pieces = cued.select("doc_id", "path", F.explode(F.concat(F.transform(blocks(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("whole"))), F.array(F.struct("text", F.lit(True).alias("whole"))))).alias("p"))
     pieces = pieces.select("doc_id", "path", "p.text", "p.whole", F.md5("p.text").alias("key"))
-    longer = scratch.keep(pieces.select("key", "text", "whole").distinct(), "blocks")
+    longer = pieces.select("key", "text", "whole")
     matched, wider = match_passages(passages, scratch, templates or TEMPLATES, least, longer, None if templates else HEADERS, None if templates else full_texts())
     matched, wider = scratch.keep(matched, "matched"), scratch.keep(wider, "matched-blocks")
 

@@ -1,20 +1,24 @@
 """Language-model scoring by a weighted backoff automaton that no machine holds whole.
 
-The model is an interpolated n-gram model in automaton form: every n-gram seen in training is a state, an arc goes from
-a context to each n-gram that continues it, and a failure arc goes from a state to that of its longest proper suffix
-with the context's backoff weight. A text is read once from left to right; the state is carried along and
-log-probabilities add up.
+Smoothed n-grams become the automaton. Its states are the contexts seen in training, from the root (no word) over single
+words to strings of order - 1 words, and one chain of states for the start of a text. An arc leads from a context over a
+word that followed it in training to the longest known context that ends there. A failure arc leads from a context to
+the context without its first word. All arcs carry log10 weights:
 
     root:     P(w) = (1 - u) c(w) / N for words seen in training, u for all others together
               (u = share of training tokens that were seen once: Good and Turing)
     arc:      P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m)       h' is h without its first word
     failure:  weight m / (c(h) + m)
 
-which sums to one over the words seen and the one class of others.
+which sums to one over the words seen and the one class of others. m is the mean number of different words that follow a
+context of that length in training (Witten and Bell), unless it is given. A text is read once from left to right: a word
+without an arc is retried after each failure arc, whose weights add up, until an arc carries the state on.
 
-Counts are spread over shards by the hash of the n-gram. Documents are read in parts of bounded size; a part asks each
-shard for the counts of the distinct n-grams that it holds, and gets them back in the same order, which is the
-automaton its own texts can reach. So memory is bounded by the part and the shard, whatever the corpus.
+Counts are spread over shards by the hash of the n-gram. The corpus is cut into parts of bounded size; a part asks each
+shard for the counts of the distinct n-grams that it holds, and builds from the answers the part of the automaton that its
+own texts can reach. So memory is bounded by the part and the shard, whatever the corpus. With more than `fan` shards
+a request goes over relays, each of which merges what a group of parts asks of a group of shards, so that the number of
+messages grows with the corpus and not with its square.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, release, runs, strings
+from .base import Scratch, pieces, release, runs, strings
 from .text import SPACE, join, mix, words
 
 END = np.uint64(0x9D5C3A7B12E4F681)
@@ -69,56 +74,105 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out
 
 
+# -- parts ----------------------------------------------------------------------------------------------------------
+
+PART = "part long, doc_id array<long>, train array<boolean>, size array<int>, vocabulary binary, symbols binary"
+
+
+def pack_symbols(symbols: np.ndarray) -> bytes:
+    """32-bit numbers, most of them small, by planes of bytes."""
+    planes = np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_symbols(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _parts(part_tokens: int, part_rows: int):
+    """Rows (doc_id, train, text) -> parts. A part ends when it has that many tokens or rows, and has one text at least."""
+
+    def run(batches):
+        begin, made = TaskContext.get().partitionId() << 32, 0
+        ids, train, hashes, sizes, rows, tokens = [], [], [], [], 0, 0
+
+        def flush():
+            nonlocal made, rows, tokens
+            vocabulary, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
+            cols = [
+                pa.array([begin + made], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())), pa.array([pa.concat_arrays(train).to_pylist()], pa.list_(pa.bool_())),
+                pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack_symbols(symbols)], pa.binary()),
+            ]
+            made, rows, tokens = made + 1, 0, 0
+            for x in (ids, train, hashes, sizes):
+                x.clear()
+            release()
+            return pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "train", "size", "vocabulary", "symbols"])
+
+        for batch in batches:
+            data, offsets = strings(batch.column(2))
+            for a, b in pieces(offsets, 1 << 20):
+                w = words(data, offsets[a : b + 1], SPACE)
+                n = np.diff(w.text) + 1
+                h = np.insert(w.hash, w.text[1:], END)
+                upto, c = np.cumsum(n), 0
+                while c < b - a:
+                    done = int(upto[c - 1]) if c else 0
+                    d = max(c + 1, int(np.searchsorted(upto, done + part_tokens - tokens, "right")))
+                    if rows and upto[c] - done > part_tokens - tokens:
+                        yield flush()
+                        continue
+                    d = min(d, c + part_rows - rows, b - a)
+                    ids.append(batch.column(0).slice(a + c, d - c))
+                    train.append(batch.column(1).slice(a + c, d - c))
+                    hashes.append(h[done : int(upto[d - 1])])
+                    sizes.append(n[c:d].astype(np.int32))
+                    rows, tokens, c = rows + d - c, tokens + int(upto[d - 1]) - done, d
+                    if rows >= part_rows or tokens >= part_tokens:
+                        yield flush()
+        if rows:
+            yield flush()
+
+    return run
+
+
 @dataclass
 class Part:
     """The tokens of a part's texts, each text closed by the end token, and its n-grams of each order."""
 
-    tokens: np.ndarray
+    vocabulary: np.ndarray
+    symbols: np.ndarray
     ptr: np.ndarray
-    grams: list[np.ndarray]  # grams[k]: the (k + 1)-gram that ends at each token; 0 where a context would pass START
-
-    def first(self) -> np.ndarray:
-        return self.ptr[:-1]
-
-
-def read_part(data: np.ndarray, offsets: np.ndarray, order: int, piece: int = 4 << 20) -> Part:
-    hashes, counts = [], []
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + piece, "right")) - 1)
-        w = words(data, offsets[a : b + 1], SPACE)
-        hashes.append(np.insert(w.hash, w.text[1:], END))
-        counts.append(np.diff(w.text) + 1)
-        a = b
-    tokens = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    ptr = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-    grams = [mix(tokens)]
-    for k in range(1, order):
-        # contexts are padded with START to the left, so that every token has a context of every length
-        before = np.empty(len(tokens), np.uint64)
-        before[1:] = grams[-1][:-1]
+    grams: list[np.ndarray]  # grams[k]: key of the (k + 1)-gram that ends at each token; contexts reach back past START
+
+    @classmethod
+    def of(cls, vocabulary: bytes, symbols: bytes, size: np.ndarray, order: int) -> "Part":
+        ptr = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        known, at = unpack_sorted(vocabulary), unpack_symbols(symbols, int(ptr[-1]))
+        tokens = known[at]
+        grams = [mix(tokens)]
         start = START
-        for _ in range(k - 1):
-            start = mix(join(np.array([start]), np.array([START])))[0]
-        if len(tokens):
+        for _ in range(1, order):
+            # contexts are padded with START to the left, so that every token has a context of every length
+            before = np.empty(len(tokens), np.uint64)
+            before[1:] = grams[-1][:-1]
             before[ptr[:-1]] = start
-        grams.append(mix(join(before, tokens)))
-    return Part(tokens, ptr, grams)
-
+            grams.append(mix(join(before, tokens)))
+            start = mix(join(np.array([start]), np.array([START])))[0]
+        return cls(known, at, ptr, [g & _EVEN for g in grams])
 
-def by_text(x: np.ndarray, p: Part) -> np.ndarray:
-    """Sums over each text's tokens, of which there is one at least."""
-    return np.add.reduceat(x, p.ptr[:-1]) if len(x) else np.zeros(0)
 
+# -- counts ---------------------------------------------------------------------------------------------------------
 
-REQUEST = "part long, k int, shard int, keys binary, counts binary"
-ANSWER = "part long, k int, shard int, seen binary, n long, kinds long, once long"
+ASK = "node long, k int, slot long, keys binary, counts binary"
+ANSWER = "node long, k int, slot long, seen binary, n long, kinds long, once long"
 
 
 def _counted(gram: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and how many training tokens each has. The lowest bit of a key gives way to the mark of
+    """Distinct keys in order and how many training tokens each has. The lowest bit of a key is free for the mark of
     training, so that one sort in place does it."""
-    both = (gram & _EVEN) | trained
+    both = gram | trained
     both.sort()
     first = np.ones(len(both), bool)
     first[1:] = (both[1:] ^ both[:-1]) > np.uint64(1)
@@ -127,125 +181,292 @@ def _counted(gram: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[begin] & _EVEN, counts
 
 
-def _bounds(shards: int) -> np.ndarray:
-    """Upper ends of the shards' ranges of keys."""
-    return np.array([(i + 1) * (1 << 64) // shards - 1 for i in range(shards)], np.uint64)
+def _ends(slots: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Upper ends of the key ranges of slots low to high - 1 of so many."""
+    return np.array([(i + 1) * (1 << 64) // slots - 1 for i in range(low, slots if high is None else high)], np.uint64)
+
 
+def _split(node: int, k: int, keys: np.ndarray, counts: np.ndarray, ends: np.ndarray, low: int = 0) -> list[tuple]:
+    cut = np.concatenate([[0], np.searchsorted(keys, ends, "right")]).tolist()
+    return [(node, k, low + s, pack_sorted(keys[a:b]), pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
-def _requests(order: int, shards: int):
-    ends = _bounds(shards)
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "k", "slot", "keys", "counts"])
+
+
+def _ask(order: int, slots: int):
+    """Parts -> what they ask of each slot, with their own counts in training."""
+    ends = _ends(slots)
 
     def run(batches):
-        for t in runs(batches, ["part"]):
-            data, offsets = strings(t["text"])
-            p = read_part(data, offsets, order)
-            trained = np.repeat(t["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(p.ptr))
-            out: dict[str, list] = {c: [] for c in ("part", "k", "shard", "keys", "counts")}
-            for k, gram in enumerate(p.grams):
-                keys, counts = _counted(gram, trained)
-                cut = np.concatenate([[0], np.searchsorted(keys, ends, "right")])
-                for s in range(shards):
-                    if cut[s + 1] > cut[s]:
-                        out["part"].append(t["part"][0].as_py())
-                        out["k"].append(k)
-                        out["shard"].append(s)
-                        out["keys"].append(pack_sorted(keys[cut[s] : cut[s + 1]]))
-                        out["counts"].append(pack_counts(counts[cut[s] : cut[s + 1]]))
-            yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "k": pa.array(out["k"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
-            del t, data, p, trained, out
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, _, train, size, vocabulary, symbols = (batch.column(i)[row] for i in range(6))
+                p = Part.of(vocabulary.as_py(), symbols.as_py(), size.values.to_numpy(), order)
+                trained = np.repeat(train.values.to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(p.ptr))
+                for k, gram in enumerate(p.grams):
+                    keys, counts = _counted(gram, trained)
+                    yield _batch(_split(part.as_py(), k, keys, counts, ends))
+                del p, trained, keys, counts
+                release()
+
+    return run
+
+
+def _merged(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The key lists asked for, all their keys in order, where each is among them, and their counts."""
+    asked = [unpack_sorted(x) for x in t["keys"].to_pylist()]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.concatenate([unpack_counts(x) for x in t["counts"].to_pylist()])
+    return asked, keys, at, np.bincount(at, weights=counts.astype(float), minlength=len(keys)).astype(np.int64)
+
+
+def _relay(shards: int, each: int):
+    """Rows (up, k, slot, keys, counts) sorted by up and k: what a relay has been asked, merged and split by shard."""
+
+    def run(batches):
+        for t in runs(batches, ["up", "k"]):
+            slot = t["slot"][0].as_py()
+            _, keys, _, counts = _merged(t)
+            ends = _ends(shards, slot * each, (slot + 1) * each)
+            yield _batch(_split(t["up"][0].as_py(), t["k"][0].as_py(), keys, counts, ends, slot * each))
             release()
 
     return run
 
 
-def _answers(batches):
-    for t in runs(batches, ["k", "shard"]):
-        asked = [unpack_sorted(x) for x in t["keys"].to_pylist()]
-        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack_counts(x) for x in t["counts"].to_pylist()]).astype(float), minlength=len(keys)).astype(np.int64)
+def _back(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """What the shards answered to a relay, for each of the parts that asked it."""
+    lists, _, at, _ = _merged(asked)
+    order = np.argsort(answers["slot"].to_numpy())
+    seen = answers["seen"].to_pylist()
+    total = np.concatenate([unpack_counts(seen[i]) for i in order.tolist()])[at]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return pa.table([asked["node"], asked["k"], asked["slot"], pa.array([pack_counts(total[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["node", "k", "slot", "seen"])
+
+
+def _answer(batches):
+    for t in runs(batches, ["k", "slot"]):
+        asked, _, at, total = _merged(t)
         cut = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
         n = t.num_rows
         own = lambda x: pa.array([int(x)] + [0] * (n - 1), pa.int64())  # noqa: E731  once for each shard
         seen = [pack_counts(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-        cols = [t["part"].combine_chunks(), t["k"].combine_chunks(), t["shard"].combine_chunks(), pa.array(seen, pa.binary()), own(total.sum()), own((total > 0).sum()), own((total == 1).sum())]
-        yield pa.RecordBatch.from_arrays(cols, names=["part", "k", "shard", "seen", "n", "kinds", "once"])
+        cols = [t["node"].combine_chunks(), t["k"].combine_chunks(), t["slot"].combine_chunks(), pa.array(seen, pa.binary()), own(total.sum()), own((total > 0).sum()), own((total == 1).sum())]
+        yield pa.RecordBatch.from_arrays(cols, names=["node", "k", "slot", "seen", "n", "kinds", "once"])
+        release()
+
+
+def _totals(parts: DataFrame, scratch: Scratch, order: int, shards: int, fan: int) -> tuple[DataFrame, DataFrame, int]:
+    """The answers for each part (node, k, slot, seen), the sums over shards by k, and the number of slots."""
+    tasks = lambda n: max(1, min(n, 20_000))  # noqa: E731  partitions; a task works on one run after another
+
+    def answered(asked: DataFrame, n: int) -> DataFrame:
+        return scratch.keep(asked.repartition(tasks(n), "k", "slot").sortWithinPartitions("k", "slot").mapInArrow(_answer, ANSWER), "answers")
+
+    def sums(answers: DataFrame) -> DataFrame:
+        return answers.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "kinds", "once")])
+
+    if shards <= fan:
+        answers = answered(parts.mapInArrow(_ask(order, shards), ASK), shards)
+        return answers.select("node", "k", "slot", "seen"), sums(answers), shards
+    each = int(np.ceil(np.sqrt(shards)))  # shards of a slot
+    slots = -(-shards // each)
+    shards = slots * each
+    groups = max(1, parts.count() // slots)  # a relay then holds about as many keys as a part
+    up = F.pmod(F.xxhash64("node"), F.lit(groups)) * slots + F.col("slot")
+    asked = scratch.keep(parts.mapInArrow(_ask(order, slots), ASK).withColumn("up", up), "asked")
+    merged = asked.repartition(tasks(groups * slots), "up", "k").sortWithinPartitions("up", "k").mapInArrow(_relay(shards, each), ASK)
+    answers = answered(merged, shards)
+    back = asked.groupBy("up", "k").cogroup(answers.select(F.col("node").alias("up"), "k", "slot", "seen").groupBy("up", "k"))
+    return back.applyInArrow(_back, "node long, k int, slot long, seen binary"), sums(answers), slots
+
+
+# -- the automaton --------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class Backoff:
-    """A part's automaton: for each token of its texts, the arcs of every order that could be taken there."""
+class Corpus:
+    """What the automaton needs to know of the whole corpus."""
 
-    n: int
+    tokens: int
     kinds: int
     once: int
+    texts: int
     pull: tuple[float, ...]
 
-    def root(self, c: np.ndarray) -> np.ndarray:
-        unseen = self.unseen()
-        return np.where(c > 0, (1 - unseen) * c / max(self.n, 1), unseen)
-
     def unseen(self) -> float:
-        return 1.0 if not self.n else min(max(self.once, 0.5) / (self.n + 1), 0.999)
-
-    def traverse(self, p: Part, counts: list[np.ndarray], starts: list[int]) -> np.ndarray:
-        """log10 probability of each text. counts[k]: training count of the (k + 1)-gram that ends at each token;
-        starts[k]: number of training texts, the count of a context of nothing but START."""
-        prob = self.root(counts[0])
-        for k in range(1, len(counts)):
-            context = np.empty(len(p.tokens))
-            context[1:] = counts[k - 1][:-1]
-            context[p.first()] = starts[k]
-            m = self.pull[k - 1]
-            fail = m / (context + m)  # weight of the failure arc out of the carried state
-            prob = np.where(counts[k] > 0, counts[k] / (context + m), 0.0) + fail * prob
-        return by_text(np.log10(prob), p)
+        return 1.0 if not self.tokens else min(max(self.once, 0.5) / (self.tokens + 1), 0.999)
+
+
+class Automaton:
+    """States, arcs and failure arcs that the texts of a part can reach.
+
+    State 0 is the root, states 1 to order - 1 are the start of a text seen as that many words, and each known context
+    of the part follows. Arcs are found by state * width + symbol; the root has one for every symbol.
+    """
+
+    def __init__(self, p: Part, counts: list[np.ndarray], corpus: Corpus):
+        """counts[k]: training count of the (k + 1)-gram that ends at each token of p."""
+        order, n = len(counts), len(p.symbols)
+        self.width = max(1, len(p.vocabulary))
+        self.start = order - 1
+        starts = np.arange(order)
+        # state[k]: the context of k words that ends before each token, and whether training knows it
+        state = [np.zeros(n, np.int64)]
+        after = [np.zeros(n, np.int64)]  # the same for the context that ends with each token
+        self.fail, self.fail_weight = [np.maximum(starts - 1, 0)], [np.zeros(order)]
+        size = order
+        for k in range(1, order):
+            known = counts[k - 1] > 0
+            keys, first, at = np.unique(p.grams[k - 1], return_index=True, return_inverse=True)
+            number = np.cumsum(known[first]) - 1 + size
+            own = np.where(known[first], number, -1)[at]
+            shorter = after[k - 1]
+            some = first[known[first]]
+            m = corpus.pull[k - 1]
+            self.fail.append(shorter[some])
+            self.fail_weight.append(np.log10(m / (counts[k - 1][some] + m)))
+            self.fail_weight[0][k] = np.log10(m / (corpus.texts + m))
+            # a context that training does not know has no state of its own; the longest known one stands for it
+            after.append(np.where(own >= 0, own, shorter))
+            before = np.empty(n, np.int64)
+            before[1:] = own[:-1]
+            before[p.ptr[:-1]] = k if corpus.texts else -1
+            state.append(before)
+            size += len(some)
+        self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
+        c = counts[0]
+        u = corpus.unseen()
+        prob = np.where(c > 0, (1 - u) * c / max(corpus.tokens, 1), u)
+        self.root, self.root_to = np.zeros(self.width), np.zeros(self.width, np.int64)
+        self.root[p.symbols] = np.log10(prob)
+        self.root_to[p.symbols] = after[1] if order > 1 else 0
+        keys, weights, targets = [], [], []
+        for k in range(1, order):
+            m = corpus.pull[k - 1]
+            whole = np.where(state[k] < 0, 0, np.where(state[k] < order, corpus.texts, np.concatenate([[0], counts[k - 1][:-1]]) if n else 0))
+            prob = (counts[k] + m * prob) / (whole + m)
+            key, first = np.unique((state[k] * self.width + p.symbols)[(counts[k] > 0) & (state[k] >= 0)], return_index=True)
+            at = np.flatnonzero((counts[k] > 0) & (state[k] >= 0))[first]
+            keys.append(key)
+            weights.append(np.log10(prob[at]))
+            targets.append(after[min(k + 1, order - 1)][at])
+        join_all = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        key = join_all(keys, np.int64)
+        by = np.argsort(key, kind="stable")
+        self.key, self.weight, self.target = key[by], join_all(weights, float)[by], join_all(targets, np.int64)[by]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word for each state: the log10 weight of the way and the state it leads to."""
+        weight, target = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        state = state.copy()
+        while len(todo):
+            s, w = state[todo], symbol[todo]
+            key = s * self.width + w
+            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            root = s == 0
+            found = ~root & (self.key[at] == key) if len(self.key) else np.zeros(len(todo), bool)
+            go, i = todo[found], at[found]
+            weight[go] += self.weight[i]
+            target[go] = self.target[i]
+            go = todo[root]
+            weight[go] += self.root[symbol[go]]
+            target[go] = self.root_to[symbol[go]]
+            todo = todo[~root & ~found]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return weight, target
+
+    def traverse(self, p: Part, stretch: int = 512) -> np.ndarray:
+        """log10 probability of each text, read from left to right with a carried state, all texts of the part in step.
+
+        A long text is read in stretches at once. The state after order - 1 words depends on them alone, so a stretch
+        that is not the first reads those before it from the root to find its state, and counts nothing there.
+        """
+        sizes = np.diff(p.ptr)
+        n = -(-sizes // stretch)
+        text = np.repeat(np.arange(len(sizes)), n)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        begin = p.ptr[:-1][text] + nth * stretch
+        end = np.minimum(begin + stretch, p.ptr[1:][text])
+        state = np.where(nth == 0, self.start, 0)
+        later = np.flatnonzero(nth > 0)
+        for back in range(self.start, 0, -1):
+            state[later] = self.step(state[later], p.symbols[begin[later] - back])[1]
+        by = np.argsort(begin - end, kind="stable")  # longest first
+        begin, size, state = begin[by], (end - begin)[by], state[by]
+        total = np.zeros(len(text))
+        live = len(text)
+        for i in range(int(size[0]) if len(size) else 0):
+            while size[live - 1] <= i:
+                live -= 1
+            weight, state[:live] = self.step(state[:live], p.symbols[begin[:live] + i])
+            total[:live] += weight
+        return np.bincount(text[by], weights=total, minlength=len(sizes))
 
 
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def language_scores(docs: DataFrame, scratch: Scratch, train, order: int = 2, pull: tuple[float, ...] = (50.0, 10.0), part_rows: int = 2_048, shard_bytes: int = 8 << 20) -> DataFrame:
+def language_scores(
+    docs: DataFrame,
+    scratch: Scratch,
+    train,
+    order: int = 3,
+    pull: tuple[float, ...] | None = None,
+    part_tokens: int = 1 << 20,
+    part_rows: int = 4_096,
+    shard_bytes: int = 8 << 20,
+    fan: int = 4_096,
+) -> DataFrame:
     """docs (doc_id, text) -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     `train` is a condition on doc_id; all rows that meet it are learnt from, all rows are scored. Tokens are words
     between ASCII white space, A-Z lower-cased, and one end token for each text; null texts are empty. base_score is
     the add-a-half unigram model's. Repeated rows count as often as they occur; rows without doc_id are rows like
-    others; with nothing to learn from, every token is unseen. An empty table gives no rows.
+    others; with nothing to learn from, every token is unseen. An empty table gives no rows; other columns are ignored.
+    A part ends after part_tokens tokens or part_rows rows; a longer text is a part of its own, read whole.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    place = F.monotonically_increasing_id()
-    parts = ids.withColumn("train", F.coalesce(train, F.lit(False))).withColumn("part", F.shiftright(place, 33) * (1 << 20) + F.floor((place % (1 << 33)) / part_rows))
-    # the written table fixes which rows are a part
-    parts = scratch.keep(parts, "parts")
-    size, texts = parts.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
-    shards = max(1, -(-(size or 0) // shard_bytes))
-
-    rows = parts.select("part", "train", "text")
-    requests = rows.mapInArrow(_requests(order, shards), REQUEST)
-    answers = requests.repartition(shards, "k", "shard").sortWithinPartitions("k", "shard").mapInArrow(_answers, ANSWER)
-    answers = scratch.keep(answers, "answers")
-    n, kinds, once = answers.where("k = 0").agg(F.sum("n"), F.sum("kinds"), F.sum("once")).first()
-    model = Backoff(n or 0, kinds or 0, once or 0, pull)
-    starts = [texts or 0] * order
-    base_total = model.n + 0.5 * (model.kinds + 1)
-    ends = _bounds(shards)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
+    # the written table fixes which rows are a part; a part is one row, so no reader divides it
+    parts = scratch.keep(rows.mapInArrow(_parts(part_tokens, part_rows), PART), "parts")
+    tokens, texts = parts.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("train", lambda x: x)))).first()
+    shards = max(1, -(-(tokens or 0) * 8 // shard_bytes))
+    answers, sums, slots = _totals(parts, scratch, order, shards, fan)
+    found = {r["k"]: r for r in sums.collect()}  # one row for each order
+    kinds = [found[k]["kinds"] if k in found else 0 for k in range(order)]
+    if pull is None:  # the contexts of k words are those before the (k + 1)-grams: all k-grams but for the start of texts
+        pull = tuple(max(kinds[k] / max(kinds[k - 1], 1), 0.1) for k in range(1, order))
+    corpus = Corpus(found[0]["n"] if found else 0, kinds[0], found[0]["once"] if found else 0, texts or 0, pull)
+    base_total = corpus.tokens + 0.5 * (corpus.kinds + 1)
+    ends = _ends(slots)
 
     def run(left, right):
-        """The texts of a part and the answers for it."""
-        data, offsets = strings(left["text"])
-        p = read_part(data, offsets, order)
-        got = {(k, s): c for k, s, c in zip(right["k"].to_pylist(), right["shard"].to_pylist(), right["seen"].to_pylist())}
-        counts = []
+        """A part and the answers for it."""
+        ids, trains, size = (left[c].combine_chunks().values for c in ("doc_id", "train", "size"))
+        p = Part.of(left["vocabulary"][0].as_py(), left["symbols"][0].as_py(), size.to_numpy(), order)
+        got = {(k, s): i for i, (k, s) in enumerate(zip(right["k"].to_pylist(), right["slot"].to_pylist()))}
+        seen, counts = right["seen"], []
         for k, gram in enumerate(p.grams):
-            keys, at = np.unique(gram & _EVEN, return_inverse=True)
+            keys, at = np.unique(gram, return_inverse=True)
             cut = np.concatenate([[0], np.searchsorted(keys, ends, "right")])
-            seen = np.concatenate([unpack_counts(got[k, s]) for s in range(shards) if cut[s + 1] > cut[s]]) if len(keys) else np.zeros(0, np.int64)
-            counts.append(seen[at])
+            total = np.concatenate([unpack_counts(seen[got[k, s]].as_py()) for s in range(slots) if cut[s + 1] > cut[s]])
+            counts.append(total[at])
         known = np.concatenate([[0], np.cumsum(counts[0] > 0)])
-        base = by_text(np.log10((counts[0] + 0.5) / base_total), p)
+        base = np.add.reduceat(np.log10((counts[0] + 0.5) / base_total), p.ptr[:-1])
         a, b = p.ptr[:-1], p.ptr[1:]
+        automaton = Automaton(p, counts, corpus)
+        del counts, keys, at
+        score = automaton.traverse(p)
+        out = pa.table([ids, trains, pa.array(b - a, pa.int64()), pa.array(known[b] - known[a], pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+        del automaton, p, score, base, known
         release()
-        return pa.table([left["doc_id"], left["train"], pa.array(b - a, pa.int64()), pa.array(known[b] - known[a], pa.int64()), pa.array(base), pa.array(model.traverse(p, counts, starts))], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+        return out
 
-    scored = parts.groupBy("part").cogroup(answers.select("part", "k", "shard", "seen").groupBy("part")).applyInArrow(run, SCORES)
-    return scored.withColumn("train_tokens", F.lit(model.n).cast("long"))
+    scored = parts.groupBy(F.col("part").alias("node")).cogroup(answers.groupBy("node")).applyInArrow(run, SCORES)
+    return scored.withColumn("train_tokens", F.lit(corpus.tokens).cast("long"))

@@ -198,13 +198,13 @@ def plain_scores(texts, trained, pull, order):
     return n, out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model_is_the_plain_model(spark, scratch, order):
+@pytest.mark.parametrize("order, fan", [(1, 4096), (2, 4096), (3, 4096), (3, 3)])
+def test_language_model_is_the_plain_model(spark, scratch, order, fan):
     rng = random.Random(2)
-    texts = [prose(rng, rng.randint(0, 40)).title() for _ in range(60)] + [None, "", "  \n", "never seen", "x" * 50_000]
+    texts = [prose(rng, rng.randint(0, 40)).title() for _ in range(60)] + [None, "", "  \n", "never seen", "x" * 50_000, prose(rng, 1_500)]
     trained = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
     n, want = plain_scores(texts, trained, (50.0, 10.0), order)
-    got = by_id(lm.language_scores(frame(spark, texts), scratch, base.remainder("doc_id", 5) != 1, order=order, part_rows=7, shard_bytes=2_000))
+    got = by_id(lm.language_scores(frame(spark, texts), scratch, base.remainder("doc_id", 5) != 1, order=order, pull=(50.0, 10.0), part_rows=7, part_tokens=200, shard_bytes=2_000, fan=fan))
     for i, w in enumerate(want):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (w[0], w[1], n)
@@ -213,6 +213,48 @@ def test_language_model_is_the_plain_model(spark, scratch, order):
     assert lm.language_scores(frame(spark, ["a b"]), scratch, F.lit(False)).first()["n_known"] == 0
 
 
+def test_language_model_estimates_its_pull(spark, scratch):
+    """m is the mean number of words after a context; the parts' files are read in several splits."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(40)]
+    grams = [set(), set(), set()]
+    for t in texts:
+        w = ["<s>", "<s>", *split_words(t), "</s>"]
+        for i in range(2, len(w)):
+            for k in range(3):
+                grams[k].add(tuple(w[i - k : i + 1]))
+    want = plain_scores(texts, [True] * 40, (len(grams[1]) / len(grams[0]), len(grams[2]) / len(grams[1])), 3)[1]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = by_id(lm.language_scores(frame(spark, texts).coalesce(1), scratch, F.lit(True), part_rows=3))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [got[i]["score"] for i in range(40)] == pytest.approx([w[3] for w in want], abs=1e-9)
+
+
+def test_automaton_has_states_arcs_and_failures():
+    """Trained on "a b" twice and "a c": the words are 0 a, 1 b, 2 c, 3 end; the text read is "a c b"."""
+    texts = [[0, 1, 3], [0, 1, 3], [0, 2, 3]]
+    text = np.array([0, 2, 1, 3])
+    count = lambda *g: sum(tuple(t[i : i + len(g)]) == g for t in texts for i in range(len(t)))
+    p = lm.Part(np.arange(4, dtype=np.uint64), text, np.array([0, 4]), [np.array([0, 4, 2, 6], np.uint64), np.array([10, 14, 12, 16], np.uint64)])
+    counts = [np.array([count(int(w)) for w in text]), np.array([3, count(0, 2), count(2, 1), count(1, 3)])]
+    corpus = lm.Corpus(9, 4, 1, 3, (2.0,))
+    a = lm.Automaton(p, counts, corpus)
+    # the root, the start and the words a, b, c and end in order of their keys: 0, 2 (b), 4 (c), 6 (end)
+    assert a.fail.tolist() == [0, 0, 0, 0, 0, 0]
+    assert [float(10**x) for x in a.fail_weight] == pytest.approx([1, 2 / 5, 2 / 5, 2 / 4, 2 / 3, 2 / 5])
+    root = {w: 0.9 * count(w) / 9 for w in range(4)}
+    assert [float(10**x) for x in a.root] == pytest.approx(list(root.values()))
+    arcs = {(int(k) // 4, int(k) % 4): (float(10**w), int(t)) for k, w, t in zip(a.key, a.weight, a.target)}
+    assert set(arcs) == {(1, 0), (2, 2), (3, 3)}  # start to a, a to c, b to the end; none from c to b
+    assert arcs[1, 0] == (pytest.approx((3 + 2 * root[0]) / 5), 2) and arcs[2, 2] == (pytest.approx((1 + 2 * root[2]) / 5), 4) and arcs[3, 3] == (pytest.approx((2 + 2 * root[3]) / 4), 5)
+    want = arcs[1, 0][0] * arcs[2, 2][0] * (2 / 3 * root[1]) * arcs[3, 3][0]
+    for stretch in (1, 2, 512):
+        assert float(10 ** a.traverse(p, stretch)[0]) == pytest.approx(want)
+
+
 def test_sorted_keys_and_counts_come_back():
     rng = np.random.default_rng(1)
     for keys in ([], [5], [0, 1, (1 << 64) - 1], np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))):

@@ -23,7 +23,6 @@ messages grows with the corpus and not with its square.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,44 +35,54 @@ from .base import Scratch, pieces, release, runs, strings
 from .text import SPACE, join, mix, words
 
 END = np.uint64(0x9D5C3A7B12E4F681)
-_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 START = np.uint64(0x3C6EF372FE94F82B)
 
 
+def _planes(raw: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, each place compressed by itself: places that hardly vary take hardly any room."""
+    parts = [pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) for x in raw.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T]
+    return np.array([len(raw), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    n, *sizes = np.frombuffer(data, "<u4", 9).tolist()
+    out, at = np.empty((n, 8), np.uint8), 36
+    for i, size in enumerate(sizes):
+        out[:, i] = np.frombuffer(pa.decompress(data[at : at + size], n, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    return out.view("<u8").ravel()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending distinct 64-bit keys as gaps of as few bytes as the widest needs."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys)
-    size = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([size]) + keys[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+    """Ascending distinct 64-bit keys as the first one and gaps."""
+    return _planes(np.diff(keys, prepend=np.uint64(0))) if len(keys) else b""
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    size = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, size)
-    wide = np.zeros((len(raw) + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
-    wide[1:, :size] = raw
-    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data), dtype=np.uint64) if data else np.zeros(0, np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
     small = np.minimum(counts, 255).astype(np.uint8)
     large = np.flatnonzero(counts >= 255)
-    return zlib.compress(np.uint64(len(counts)).tobytes() + small.tobytes() + counts[large].astype(np.uint64).tobytes(), 1)
+    raw = small.tobytes() + counts[large].astype(np.uint64).tobytes()
+    return np.array([len(counts), len(large)], "<u4").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, np.uint64, 1)[0])
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.uint64, offset=8 + n)
+    n, large = np.frombuffer(data, "<u4", 2).tolist()
+    raw = pa.decompress(data[8:], n + 8 * large, codec="zstd", asbytes=True)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.uint64, offset=n)
     return out
 
 
+def key_bits(tokens: int) -> int:
+    """Bits of an n-gram's hash that are kept: so many that it meets one of the corpus's other n-grams with a chance of
+    2^-24 at most, as far as 63 bits go."""
+    return min(63, 24 + max(1, tokens).bit_length())
+
+
 # -- parts ----------------------------------------------------------------------------------------------------------
 
 PART = "part long, doc_id array<long>, train array<boolean>, size array<int>, vocabulary binary, symbols binary"
@@ -147,7 +156,7 @@ class Part:
     grams: list[np.ndarray]  # grams[k]: key of the (k + 1)-gram that ends at each token; contexts reach back past START
 
     @classmethod
-    def of(cls, vocabulary: bytes, symbols: bytes, size: np.ndarray, order: int) -> "Part":
+    def of(cls, vocabulary: bytes, symbols: bytes, size: np.ndarray, order: int, bits: int) -> "Part":
         ptr = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         known, at = unpack_sorted(vocabulary), unpack_symbols(symbols, int(ptr[-1]))
         tokens = known[at]
@@ -160,7 +169,10 @@ class Part:
             before[ptr[:-1]] = start
             grams.append(mix(join(before, tokens)))
             start = mix(join(np.array([start]), np.array([START])))[0]
-        return cls(known, at, ptr, [g & _EVEN for g in grams])
+        mask = np.uint64((1 << 64) - (1 << (64 - bits)))
+        for g in grams:
+            g &= mask
+        return cls(known, at, ptr, grams)
 
 
 # -- counts ---------------------------------------------------------------------------------------------------------
@@ -178,7 +190,7 @@ def _counted(gram: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] = (both[1:] ^ both[:-1]) > np.uint64(1)
     begin = np.flatnonzero(first)
     counts = np.add.reduceat((both & np.uint64(1)).astype(np.int32), begin) if len(begin) else np.zeros(0, np.int32)
-    return both[begin] & _EVEN, counts
+    return both[begin] & ~np.uint64(1), counts
 
 
 def _ends(slots: int, low: int = 0, high: int | None = None) -> np.ndarray:
@@ -197,7 +209,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "k", "slot", "keys", "counts"])
 
 
-def _ask(order: int, slots: int):
+def _ask(order: int, slots: int, bits: int):
     """Parts -> what they ask of each slot, with their own counts in training."""
     ends = _ends(slots)
 
@@ -205,7 +217,7 @@ def _ask(order: int, slots: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 part, _, train, size, vocabulary, symbols = (batch.column(i)[row] for i in range(6))
-                p = Part.of(vocabulary.as_py(), symbols.as_py(), size.values.to_numpy(), order)
+                p = Part.of(vocabulary.as_py(), symbols.as_py(), size.values.to_numpy(), order, bits)
                 trained = np.repeat(train.values.to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(p.ptr))
                 for k, gram in enumerate(p.grams):
                     keys, counts = _counted(gram, trained)
@@ -260,7 +272,7 @@ def _answer(batches):
         release()
 
 
-def _totals(parts: DataFrame, scratch: Scratch, order: int, shards: int, fan: int) -> tuple[DataFrame, DataFrame, int]:
+def _totals(parts: DataFrame, scratch: Scratch, order: int, bits: int, shards: int, fan: int) -> tuple[DataFrame, DataFrame, int]:
     """The answers for each part (node, k, slot, seen), the sums over shards by k, and the number of slots."""
     tasks = lambda n: max(1, min(n, 20_000))  # noqa: E731  partitions; a task works on one run after another
 
@@ -271,14 +283,14 @@ def _totals(parts: DataFrame, scratch: Scratch, order: int, shards: int, fan: in
         return answers.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "kinds", "once")])
 
     if shards <= fan:
-        answers = answered(parts.mapInArrow(_ask(order, shards), ASK), shards)
+        answers = answered(parts.mapInArrow(_ask(order, shards, bits), ASK), shards)
         return answers.select("node", "k", "slot", "seen"), sums(answers), shards
     each = int(np.ceil(np.sqrt(shards)))  # shards of a slot
     slots = -(-shards // each)
     shards = slots * each
     groups = max(1, parts.count() // slots)  # a relay then holds about as many keys as a part
     up = F.pmod(F.xxhash64("node"), F.lit(groups)) * slots + F.col("slot")
-    asked = scratch.keep(parts.mapInArrow(_ask(order, slots), ASK).withColumn("up", up), "asked")
+    asked = scratch.keep(parts.mapInArrow(_ask(order, slots, bits), ASK).withColumn("up", up), "asked")
     merged = asked.repartition(tasks(groups * slots), "up", "k").sortWithinPartitions("up", "k").mapInArrow(_relay(shards, each), ASK)
     answers = answered(merged, shards)
     back = asked.groupBy("up", "k").cogroup(answers.select(F.col("node").alias("up"), "k", "slot", "seen").groupBy("up", "k"))
@@ -419,7 +431,7 @@ def language_scores(
     train,
     order: int = 3,
     pull: tuple[float, ...] | None = None,
-    part_tokens: int = 1 << 20,
+    part_tokens: int = 1 << 19,
     part_rows: int = 4_096,
     shard_bytes: int = 8 << 20,
     fan: int = 4_096,
@@ -437,7 +449,8 @@ def language_scores(
     parts = scratch.keep(rows.mapInArrow(_parts(part_tokens, part_rows), PART), "parts")
     tokens, texts = parts.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.size(F.filter("train", lambda x: x)))).first()
     shards = max(1, -(-(tokens or 0) * 8 // shard_bytes))
-    answers, sums, slots = _totals(parts, scratch, order, shards, fan)
+    bits = key_bits(tokens or 0)
+    answers, sums, slots = _totals(parts, scratch, order, bits, shards, fan)
     found = {r["k"]: r for r in sums.collect()}  # one row for each order
     kinds = [found[k]["kinds"] if k in found else 0 for k in range(order)]
     if pull is None:  # the contexts of k words are those before the (k + 1)-grams: all k-grams but for the start of texts
@@ -449,7 +462,7 @@ def language_scores(
     def run(left, right):
         """A part and the answers for it."""
         ids, trains, size = (left[c].combine_chunks().values for c in ("doc_id", "train", "size"))
-        p = Part.of(left["vocabulary"][0].as_py(), left["symbols"][0].as_py(), size.to_numpy(), order)
+        p = Part.of(left["vocabulary"][0].as_py(), left["symbols"][0].as_py(), size.to_numpy(), order, bits)
         got = {(k, s): i for i, (k, s) in enumerate(zip(right["k"].to_pylist(), right["slot"].to_pylist()))}
         seen, counts = right["seen"], []
         for k, gram in enumerate(p.grams):

@@ -120,18 +120,59 @@ class TokenFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+#: The normalizer and the way to part a text for which Encoder may work chunk by chunk.
+CHUNKED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def load(path: str):
+    """The tokenizer, and whether its texts may be encoded chunk by chunk: it must drop white space, lower-case, part
+    signs from letters and have no marks but its special tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    parts = json.loads(found.to_str())
+    plain = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in parts["added_tokens"])
+    return found, plain and (parts["normalizer"], parts["pre_tokenizer"]) == CHUNKED and not parts["truncation"] and not parts["padding"]
+
+
+def vocabulary_size(path: str, end_id: int) -> int:
+    """One more than the largest id."""
+    return max(end_id, *load(path)[0].get_vocab(with_added_tokens=True).values()) + 1
+
+
+class PlainEncoder:
+    """Any tokenizer, text by text."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id, and their numbers by text."""
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        got = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+
 class Encoder:
     """The tokenizer with a memory of what chunks between ASCII white space become.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order. When
-    the memory holds more than `most` chunks, or 64 times as many bytes of them, the rarer ones are forgotten.
+    A tokenizer of this kind (CHUNKED) drops white space and never joins across it, so a text's ids are those of its
+    chunks in order. When the memory holds more than `most` chunks, or 64 times as many bytes of them, the rarer ones
+    are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, end_id: int, most: int = 250_000):
+        self.tokenizer = tokenizer
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.most = end_id, most
         self.clear()
@@ -234,28 +275,32 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int) -> Encoder | PlainEncoder:
     if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
+        tokenizer, chunked = load(path)
+        _encoders[path, end_id] = (Encoder if chunked else PlainEncoder)(tokenizer, end_id)
     return _encoders[path, end_id]
 
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id: int = 2, vocabulary: int = 49_408, shard_bytes: int = 24 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id: int = 2, shard_bytes: int = 12 << 20) -> DataFrame:
     """Encodes docs (doc_id, text) into files below the scratch folder and returns their manifest, a written table.
 
     Documents go to files by range of doc_id (nulls first; equal ids by text), so files in order of `shard` hold all
     documents in order. A file's name is unique to the attempt that wrote it and only files of attempts that ended are
-    in the manifest, so lost executors leave no wrong file in use. Null texts are empty: the end id alone.
+    in the manifest, so lost executors leave no wrong file in use. Null and empty texts are the end id alone; repeated
+    rows are written each; rows without doc_id come first. An empty table has no files. Other columns are ignored. Texts
+    are read whole; a shard is about shard_bytes of text, and one text at least. Ids take the bits of the tokenizer's
+    own largest id.
     """
     from pyarrow import fs
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    root, bits = scratch.path("tokens"), width(vocabulary)
+    root, bits = scratch.path("tokens"), width(vocabulary_size(vocabulary_path, end_id))
     where, inside = fs.FileSystem.from_uri(root)
     where.create_dir(inside, recursive=True)
 

@@ -462,6 +462,20 @@ def test_token_files_hold_what_the_tokenizer_gives(spark, scratch):
     assert tokens.read_tokens(tokens.write_tokens(frame(spark, []), scratch, path)).count() == 0
 
 
+def test_other_tokenizers_take_the_plain_path(spark, scratch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Two  words", " a\nb ", None, "", "don't é 中 <|endoftext|>"]
+    got = by_id(tokens.read_tokens(tokens.write_tokens(frame(spark, texts), scratch, path, end_id=5)))
+    for i, t in enumerate(texts):
+        assert got[i]["ids_crc32"] == zlib.crc32(np.array(plain.encode(t or "", add_special_tokens=False).ids + [5], "<u4").tobytes())
+    assert tokens.load(public_tokenizers.path("word_bpe_49k.json"))[1] and not tokens.load(path)[1]
+    assert tokens.vocabulary_size(public_tokenizers.path("word_bpe_49k.json"), 2) == 49_408
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------
 
 

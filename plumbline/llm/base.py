@@ -77,6 +77,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them so that no column of df has one, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release() -> None:
     """Hands freed memory of a Python worker back, which arrays of middle size would else keep in the allocators."""
     pa.default_memory_pool().release_unused()

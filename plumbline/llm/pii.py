@@ -1,6 +1,7 @@
 """Format-preserving Feistel pseudonyms for validated numbers and dates, as SQL expressions.
 
-A value is found by its form and checked (Luhn, mod 97, calendar, ranges). Its digits become two numbers, which a
+A text is searched once for runs of digits and what may stand between them, and for e-mail addresses. Inside a run every
+form is tried at every start and length, and checked (Luhn, mod 97, calendar, ranges). A value's digits become two numbers, which a
 keyed alternating Feistel network permutes modulo the sizes of their ranges. The product of the two ranges is exactly
 the number of values of the form, so the map is one to one, needs no walk, and a pseudonym passes the same check.
 Equal values have equal pseudonyms under one key, so they stay linked across documents.
@@ -14,17 +15,21 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Forms of personal data, in the order in which they are tried.
+from .base import unused
+
+#: Forms of personal data. What must not stand before and after a form is beside it.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE_ISO = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
-DATE_DOT = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9.])"
-DATE_SLASH = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PHONE_ABROAD = r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){%d}"
+DATE_ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DATE_DOT = r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+DATE_SLASH = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+PHONE = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+PHONE_ABROAD = r"\+[2-9](?:[ .-]?\(?[0-9]\)?){%d}"
+CARD = r"[0-9](?:[ -]?[0-9]){%d}"
+#: Where a number may begin, and all that may belong to one. Between letters and digits there is none.
+RUN = r"(?=[0-9+(]|[A-Z]{2}[0-9]{2})(?<![0-9A-Za-z])[A-Z+(]{0,3}[0-9][0-9A-Z .()/+-]{5,}(?![0-9A-Za-z])"
 
 ROUNDS = 8
 #: Days of a 400-year calendar cycle, 146097 = 773 * 189; the cycle used begins on 1700-01-01.
@@ -182,12 +187,13 @@ def _dated(v: Column, mark: str, day: int, key: str) -> Column:
 
 def _email(v: Column, key: str) -> Column:
     """Letters and digits of the part before the @ are shifted within their kind, half by half, each half by a keyed
-    hash of the other; the rest stays."""
+    hash of the other in small letters; the rest stays, and so do capitals, so that spellings of one address stay
+    linked."""
     local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
     first = F.ceil(F.length(local) / 2).cast("int")
 
     def shifted(text: Column, i: Column, other: Column) -> Column:
-        noise = F.sha2(F.concat_ws(":", F.lit(f"{key}:email"), i.cast("string"), other), 256)
+        noise = F.sha2(F.concat_ws(":", F.lit(f"{key}:email"), i.cast("string"), F.lower(other)), 256)
 
         def one(ch: Column, k: Column) -> Column:
             by = F.conv(F.substr(noise, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -207,8 +213,14 @@ def _email(v: Column, key: str) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
+    """forms: the form at each length it can have. before, after: what must not stand around it. hint: a cheap sign that
+    a run may hold one."""
+
     name: str
-    form: str
+    forms: tuple[str, ...]
+    before: str
+    after: str
+    hint: str
     valid: Callable[[Column], Column]
     new: Callable[[Column, str], Column]
 
@@ -218,53 +230,85 @@ def _nanp(v: Column) -> Column:
     return (F.substring(ten, 1, 1) >= "2") & (F.substring(ten, 4, 1) >= "2")
 
 
+_LONE = r"[0-9A-Za-z]"
+_SSN_VALID = lambda v: ~F.substring(v, 1, 3).isin("000", "666") & (F.substring(v, 1, 1) < "9") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000")
 KINDS = (
-    Kind("email", EMAIL, lambda v: F.length(v) > 0, _email),
-    Kind("iban", IBAN, lambda v: (F.length(F.regexp_replace(v, " ", "")) >= 15) & (_mod97(F.regexp_replace(v, " ", "")) == 1), _iban),
-    Kind("date_iso", DATE_ISO, lambda v: _iso_day(v).isNotNull(), lambda v, key: F.date_format(_new_day(_iso_day(v), key), "yyyy-MM-dd")),
-    Kind("date_dot", DATE_DOT, lambda v: _split_day(v, ".", 0).isNotNull(), lambda v, key: _dated(v, ".", 0, key)),
-    Kind("date_slash", DATE_SLASH, lambda v: _split_day(v, "/", 1).isNotNull(), lambda v, key: _dated(v, "/", 1, key)),
-    Kind("date_slash_day_first", DATE_SLASH, lambda v: _split_day(v, "/", 0).isNotNull(), lambda v, key: _dated(v, "/", 0, key)),
-    Kind("ssn", SSN, lambda v: ~F.substring(v, 1, 3).isin("000", "666") & (F.substring(v, 1, 1) < "9") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000"), _ssn),
-    Kind("ip", IPV4, lambda v: F.forall(F.split(v, r"\."), lambda x: x.try_cast("int") <= 255), _ip),
-    Kind("phone", PHONE, _nanp, _phone),
-    Kind("phone_abroad", PHONE_ABROAD, lambda v: F.length(digits_of(v)).between(8, 15), _abroad),
-    Kind("card", CARD, lambda v: F.length(digits_of(v)).between(13, 19) & (luhn_sum(digits_of(v)) % 10 == 0) & (digits_of(v).rlike("[1-9]")), _card),
+    Kind("iban", tuple(IBAN % n + tail for n in range(7, 1, -1) for tail in ("(?: ?[A-Z0-9]{1,3})", "")), _LONE, _LONE, "[A-Z]{2}[0-9]{2}", lambda v: (F.length(F.regexp_replace(v, " ", "")) >= 15) & (_mod97(F.regexp_replace(v, " ", "")) == 1), _iban),
+    Kind("date_iso", (DATE_ISO,), "[0-9-]", "[0-9-]", "-", lambda v: _iso_day(v).isNotNull(), lambda v, key: F.date_format(_new_day(_iso_day(v), key), "yyyy-MM-dd")),
+    Kind("date_dot", (DATE_DOT,), "[0-9.]", r"[0-9]|\.[0-9]", r"\.", lambda v: _split_day(v, ".", 0).isNotNull(), lambda v, key: _dated(v, ".", 0, key)),
+    Kind("date_slash", (DATE_SLASH,), "[0-9/]", "[0-9/]", "/", lambda v: _split_day(v, "/", 1).isNotNull(), lambda v, key: _dated(v, "/", 1, key)),
+    Kind("date_slash_day_first", (DATE_SLASH,), "[0-9/]", "[0-9/]", "/", lambda v: _split_day(v, "/", 0).isNotNull(), lambda v, key: _dated(v, "/", 0, key)),
+    Kind("ssn", (SSN,), "[0-9-]", "[0-9-]", "-", _SSN_VALID, _ssn),
+    Kind("ip", (IPV4,), "[0-9.]", r"[0-9]|\.[0-9]", r"\.", lambda v: F.forall(F.split(v, r"\."), lambda x: x.try_cast("int") <= 255), _ip),
+    Kind("phone", (r"\+1[ .-]?" + PHONE, PHONE), r"[0-9A-Za-z+]", "[0-9]", "[0-9]{3}[ .-][0-9]{4}", _nanp, _phone),
+    Kind("phone_abroad", tuple(PHONE_ABROAD % (n - 1) for n in range(15, 7, -1)), r"[0-9A-Za-z+]", rf"{_LONE}|(?<=[0-9])\)", r"\+[2-9]", lambda v: F.length(digits_of(v)) >= 8, _abroad),
+    Kind("card", tuple(CARD % (n - 1) for n in range(19, 12, -1)), rf"{_LONE}|[0-9]\.", _LONE, "(?:[0-9][ -]?){12}[0-9]", lambda v: (luhn_sum(digits_of(v)) % 10 == 0) & (digits_of(v).rlike("[1-9]")), _card),
 )
 
-PATTERN = "|".join(dict.fromkeys(k.form for k in KINDS))
 
+def candidates(run: Column) -> Column:
+    """All values in a run that pass their kind's check, at every start and of every length, as (at, shorter, kind,
+    value): by place, the longest first, then in the order of the kinds."""
+    def placed(kind: int):
+        return lambda v, rest: F.struct((F.length(run) - F.length(rest) - F.length(v)).alias("at"), (-F.length(v)).alias("shorter"), F.lit(kind).alias("kind"), v.alias("value"))
+
+    def passing(k: Kind):
+        return lambda c: F.coalesce(k.valid(c["value"]), F.lit(False))
+
+    found = []
+    for i, k in enumerate(KINDS):
+        each = []
+        for form in k.forms:
+            around = rf"(?s)(?<!{k.before})(?=({form})(?!{k.after})(.*))"
+            each.append(F.zip_with(F.regexp_extract_all(run, F.lit(around), F.lit(1)), F.regexp_extract_all(run, F.lit(around), F.lit(2)), placed(i)))
+        found.append(F.when(run.rlike(k.hint), F.filter(F.concat(*each), passing(k))))
+    none = F.array().cast("array<struct<at:int,shorter:int,kind:int,value:string>>")
+    return F.array_sort(F.concat(*[F.coalesce(x, none) for x in found]))
+
+
+def replaced(match: Column, key: str) -> Column:
+    """A match of the whole pattern -> (v, kinds): its pseudonym and the kinds found in it. In a run the first valid
+    value counts, the longest of those that begin there, then the first that begins after its end."""
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"), F.array().cast("array<string>").alias("kinds"))
+
+    def step(acc: Column, c: Column) -> Column:
+        new, name = None, None
+        for i, k in enumerate(KINDS):
+            new = F.when(c["kind"] == i, k.new(c["value"], key)) if new is None else new.when(c["kind"] == i, k.new(c["value"], key))
+            name = F.when(c["kind"] == i, k.name) if name is None else name.when(c["kind"] == i, k.name)
+        taken = F.struct(
+            (c["at"] - c["shorter"]).alias("end"), F.concat(acc["out"], F.substr(match, acc["end"] + 1, c["at"] - acc["end"]), new).alias("out"), F.concat(acc["kinds"], F.array(name)).alias("kinds")
+        )
+        return F.when(c["at"] >= acc["end"], taken).otherwise(acc)
+
+    def finish(acc: Column) -> Column:
+        return F.struct(F.concat(acc["out"], F.substr(match, acc["end"] + 1, F.length(match))).alias("v"), acc["kinds"].alias("kinds"))
 
-def pseudonym(v: Column, key: str) -> tuple[Column, Column]:
-    """The pseudonym and the kind; null where no check passes."""
-    new = kind = None
-    for k in KINDS:
-        test = F.regexp_like(v, F.lit(f"^(?:{k.form})$")) & k.valid(v)
-        new = F.when(test, k.new(v, key)) if new is None else new.when(test, k.new(v, key))
-        kind = F.when(test, F.lit(k.name)) if kind is None else kind.when(test, F.lit(k.name))
-    return new, kind
+    numbers = F.aggregate(candidates(match), start, step, finish)
+    return F.when(match.contains("@"), F.struct(_email(match, key).alias("v"), F.array(F.lit("email")).alias("kinds"))).otherwise(numbers)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Adds to docs: n_found, kinds (sorted, comma-joined, distinct) and replaces the text column.
 
     Every text is read whole. Null texts stay null with n_found 0; empty texts, repeated rows and an empty table need
-    no special case. What has the form but fails the check (a 16-digit number that is no card) stays as it is. No row
-    is shuffled: a document's pieces and matches are put together again in the row that holds it.
+    no special case. What has the form but fails the check (a 16-digit number that is no card) stays as it is, and what
+    lies inside it is tried. Columns of docs that are named n_found or kinds give way to those of the result; any
+    other column stays, whatever its name. No row is shuffled: a document's pieces and matches are put together again in
+    the row that holds it.
     """
     whole = F.col(text)
-    found = F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))
-
-    def replaced(v: Column) -> Column:
-        new, kind = pseudonym(v, key)
-        return F.struct(F.coalesce(new, v).alias("v"), kind.alias("kind"))
-
-    names = docs.columns
-    rows = docs.withColumn("__found", found)
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", replaced)))
-    hits = F.filter(F.col("__new"), lambda x: x["kind"].isNotNull())
-    # splitting at the same pattern gives one piece more than there are matches
-    joined = F.array_join(F.flatten(F.zip_with(F.split(whole, PATTERN), F.col("__new"), lambda piece, x: F.array(piece, F.coalesce(x["v"], F.lit(""))))), "")
-    out = [F.when(F.col("__new").isNull(), whole).otherwise(joined).alias(c) if c == text else F.col(c) for c in names]
-    n = F.coalesce(F.size(hits), F.lit(0))
-    return rows.select(*out, F.greatest(n, F.lit(0)).cast("long").alias("n_found"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["kind"]))), ","), F.lit("")).alias("kinds"))
+    names = [c for c in docs.columns if c.lower() not in ("n_found", "kinds")]
+    found_, new_ = unused(docs, "found", "new")
+    both = rf"(?:{EMAIL})|(?:{RUN})"
+    has_email = whole.contains("@")
+    found = F.when(has_email, F.regexp_extract_all(whole, F.lit(both), F.lit(0))).otherwise(F.regexp_extract_all(whole, F.lit(RUN), F.lit(0)))
+    rows = docs.select(*names, found.alias(found_))
+    rows = rows.withColumn(new_, F.when(F.size(found_) > 0, F.transform(found_, lambda v: replaced(v, key))))
+    kinds = F.flatten(F.transform(F.col(new_), lambda x: x["kinds"]))
+    n = F.greatest(F.coalesce(F.size(kinds), F.lit(0)), F.lit(0))
+    # splitting at the same pattern gives one piece more than there are matches; most texts have no value and stay
+    pieces = F.when(has_email, F.split(whole, both)).otherwise(F.split(whole, RUN))
+    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col(new_), lambda piece, x: F.array(piece, F.coalesce(x["v"], F.lit(""))))), "")
+    out = [F.when(n > 0, joined).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    return rows.select(*out, n.cast("long").alias("n_found"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(kinds)), ","), F.lit("")).alias("kinds"))

@@ -84,40 +84,48 @@ targets as (
          case when cap <= level * weight or height is null then cap else height * weight end as target
   from levels, water
 ),
+sizes as (
+  select d.source, d.size, t.source_size, t.target, count(*) as n, d.size * count(*) as words, 1 / sqrt(sqrt(d.size::double)) as tilt
+  from docs d join targets t on d.source is not distinct from t.source where d.size > 0 group by d.source, d.size, t.source_size, t.target
+),
+tried as (
+  select *, (target - 3.0::double * coalesce(sum(words) over (partition by source order by size rows between unbounded preceding and 1 preceding), 0))
+            / sum(tilt * words) over (partition by source order by size rows between current row and unbounded following) as rate
+  from sizes
+),
+rates as (select source, coalesce(arg_min(rate, size) filter (rate * tilt < 3.0::double), 'inf'::double) as rate from tried group by source),
 plan as (
-  select *, floor(case when source_size > 0 then target / source_size else 0.0 end) as whole,
-         target - floor(case when source_size > 0 then target / source_size else 0.0 end) * source_size as need
-  from targets
+  select t.source, t.source_size, t.target, coalesce(any_value(r.rate), 0.0::double) as rate,
+         t.target - coalesce(sum(floor(least(3.0::double, r.rate * z.tilt)) * z.words), 0) as need
+  from targets t left join rates r on t.source is not distinct from r.source left join sizes z on t.source is not distinct from z.source
+  group by t.source, t.source_size, t.target
+),
+expected as (
+  select d.doc_id, d.uid, d.size, p.source, p.source_size, p.target, p.need,
+         case when d.size > 0 then least(3.0::double, p.rate * (1 / sqrt(sqrt(d.size::double)))) else 0.0::double end as e
+  from docs d join plan p on d.source is not distinct from p.source
 ),
 ranked as (
-  select d.doc_id, d.uid, d.size, p.source, p.source_size, p.target, p.whole, p.need,
-         case when need > 0 and need < p.source_size then
+  select *, floor(e) as whole, case when e > floor(e) then
            ((cast(('0x' || substr(uid, 1, 13)) as bigint)::double + 0.5::double) / 4503599627370496.0::double)
            / (1 - ((cast(('0x' || substr(uid, 1, 13)) as bigint)::double + 0.5::double) / 4503599627370496.0::double))
-           / (need / (p.source_size - need)) end as rank
-  from docs d join plan p on d.source is not distinct from p.source
+           / ((e - floor(e)) / (1 - (e - floor(e)))) end as rank
+  from expected
 ),
 g as (
-  select source, rank, min(size) as size, sum(size) as words, min(uid) as uid, any_value(need) as need from ranked where rank is not null group by source, rank
-),
-c0 as (select *, sum(words) over (partition by source order by rank) as cum from g),
-t0 as (select * from c0 where cum <= need),
-r0 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, coalesce(max(t.rank), -1.0::double) as stop from (select source, any_value(need) as need from g group by source) p left join t0 t on t.source is not distinct from p.source group by p.source, p.need),
-c1 as (select g.source, g.rank, g.words, r.need, sum(g.words) over (partition by g.source order by g.rank) as cum from g join r0 r on g.source is not distinct from r.source where g.rank > r.stop and g.size <= r.need),
-t1 as (select * from c1 where cum <= need),
-r1 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, greatest(p.stop, coalesce(max(t.rank), -1.0::double)) as stop from r0 p left join t1 t on t.source is not distinct from p.source group by p.source, p.need, p.stop),
-c2 as (select g.source, g.rank, g.words, r.need, sum(g.words) over (partition by g.source order by g.rank) as cum from g join r1 r on g.source is not distinct from r.source where g.rank > r.stop and g.size <= r.need),
-t2 as (select * from c2 where cum <= need),
-r2 as (select p.source, p.need - coalesce(max(t.cum), 0) as need, greatest(p.stop, coalesce(max(t.rank), -1.0::double)) as stop from r1 p left join t2 t on t.source is not distinct from p.source group by p.source, p.need, p.stop),
-sampled as (select source, rank from t0 union select source, rank from t1 union select source, rank from t2),
-closing as (
-  select g.source, arg_min(g.rank, (abs(r.need - g.size), g.rank)) as rank
-  from g join r2 r on g.source is not distinct from r.source left join sampled s on s.source is not distinct from g.source and s.rank = g.rank
-  where s.rank is null and abs(r.need - g.size) < r.need group by g.source
+  select source, rank, uid, min(size) as size, sum(size) as words, any_value(need) as need from ranked where rank is not null group by source, rank, uid
 ),
-extra as (select source, rank from sampled union select source, rank from closing)
-select r.doc_id, r.size, r.source_size, r.target, cast((r.whole + case when e.rank is not null then 1 else 0 end) * r.size as bigint) as taken
-from ranked r left join extra e on r.source is not distinct from e.source and r.rank = e.rank
+c0 as (select *, sum(words) over (partition by source order by rank, uid) as cum from g),
+t0 as (select * from c0 where cum <= need and need >= 0.5::double),
+r0 as (select p.source, p.need - coalesce(max(t.cum), 0) as need from plan p left join t0 t on t.source is not distinct from p.source group by p.source, p.need),
+left0 as (select g.source, g.rank, g.uid, g.size, r.need, abs(r.need - g.size) as off from g join r0 r on g.source is not distinct from r.source where not exists (select 1 from t0 t where t.uid = g.uid and t.source is not distinct from g.source)),
+close1 as (select source, arg_min(uid, (off, rank, uid)) as uid, arg_min(size, (off, rank, uid)) as size from left0 where size <= need and off < need group by source),
+r1 as (select r.source, r.need - coalesce(c.size, 0) as need from r0 r left join close1 c on c.source is not distinct from r.source),
+left1 as (select l.source, l.rank, l.uid, l.size, r.need, abs(r.need - l.size) as off from left0 l join r1 r on l.source is not distinct from r.source where not exists (select 1 from close1 c where c.uid = l.uid and c.source is not distinct from l.source)),
+close2 as (select source, arg_min(uid, (off, rank, uid)) as uid from left1 where off < need group by source),
+extra as (select source, uid from t0 union select source, uid from close1 union select source, uid from close2)
+select r.doc_id, r.size, r.source_size, r.target, cast((r.whole + case when e.uid is not null then 1 else 0 end) * r.size as bigint) as taken
+from ranked r left join extra e on r.source is not distinct from e.source and r.uid = e.uid
 """
 
 

@@ -447,7 +447,13 @@ def test_mixing_meets_targets(spark, scratch, few):
         taken[s] += r["taken"]
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 60
-    assert {i: r["taken"] for i, r in by_id(mixing.mix(docs.repartition(5), scratch)).items()} == {i: r["taken"] for i, r in got.items()}
+    assert {i: r["taken"] for i, r in by_id(mixing.mix(docs.repartition(5), scratch, bins=3, small=2)).items()} == {i: r["taken"] for i, r in got.items()}
+    # unequal odds: of a source that takes part of its documents, short ones are taken more often than long ones
+    rate = lambda short: np.mean([got[i]["copies"] for i, s in enumerate(names) if s == "big" and (0 < got[i]["size"] <= 20) == short and got[i]["size"]])
+    assert rate(True) > 1.2 * rate(False) > 0
+    clash = docs.withColumns({c: F.lit(-7) for c in ("__size", "__of", "__rank", "__copies", "__row")})
+    assert sorted(map(tuple, mixing.apply_mix(clash, scratch, few=few).select(*docs.columns).collect()), key=str) == sorted(map(tuple, mixing.apply_mix(docs, scratch, few=few).collect()), key=str)
+    assert mixing.apply_mix(clash, scratch, few=few).where("__size = -7 and __of = -7").count() > 0
     out = mixing.apply_mix(docs, scratch, few=few)
     assert out.columns == docs.columns
     copies = Counter(r["doc_id"] for r in out.collect())

@@ -3,12 +3,14 @@
 Each document has an expected number of copies, unequal within a source, with which the source meets its target. The
 whole part of it is taken for certain. The rest is the probability with which the document is in a sample without
 replacement of fixed size in words: documents rank by their random odds over their own inclusion odds, and those that
-come first are taken while they fit. What is then missing, less than the next document, is filled by two documents at
-most: the largest that fits, and one whose size is nearest to what is missing after it.
+come first are taken while they fit. What is then missing, less than the next document, is filled by four documents at
+most: the largest that fits, three times, and one whose size is nearest to what is missing after them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .base import Scratch
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
+#: Columns of the documents that close a source's sample: all but the last must fit.
+CLOSING = ["__close1", "__close2", "__close3", "__close4"]
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
@@ -159,12 +163,13 @@ def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...], most:
     targets = _targets(by_size.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")), weights, most)
     s = scratch.keep(_rates(by_size, scratch.keep(targets, "targets"), most), "rates")
     s = _stops(sizes, s, most, scratch, bins, small, few)
-    s = _closing(sizes, s, most, scratch, few, "__close1", [], F.col("__size") <= F.col("__need"))
-    return sizes, _closing(sizes, s, most, scratch, few, "__close2", ["__close1"], F.lit(True))
+    for i, name in enumerate(CLOSING):
+        s = _closing(sizes, s, most, scratch, few, name, CLOSING[:i], F.lit(True) if name == CLOSING[-1] else F.col("__size") <= F.col("__need"))
+    return sizes, s
 
 
 def _copies():
-    extra = _sampled() | F.coalesce((F.col("__uid") == F.col("__close1")) | (F.col("__uid") == F.col("__close2")), F.lit(False))
+    extra = reduce(lambda a, c: a | F.coalesce(F.col("__uid") == F.col(c), F.lit(False)), CLOSING, _sampled())
     return (F.col("__whole") + (extra & F.col("__rank").isNotNull()).cast("int")).cast("long")
 
 

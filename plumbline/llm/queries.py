@@ -119,11 +119,13 @@ c0 as (select *, sum(words) over (partition by source order by rank, uid) as cum
 t0 as (select * from c0 where cum <= need and need >= 0.5::double),
 r0 as (select p.source, p.need - coalesce(max(t.cum), 0) as need from plan p left join t0 t on t.source is not distinct from p.source group by p.source, p.need),
 left0 as (select g.source, g.rank, g.uid, g.size, r.need, abs(r.need - g.size) as off from g join r0 r on g.source is not distinct from r.source where not exists (select 1 from t0 t where t.uid = g.uid and t.source is not distinct from g.source)),
-close1 as (select source, arg_min(uid, (off, rank, uid)) as uid, arg_min(size, (off, rank, uid)) as size from left0 where size <= need and off < need group by source),
-r1 as (select r.source, r.need - coalesce(c.size, 0) as need from r0 r left join close1 c on c.source is not distinct from r.source),
-left1 as (select l.source, l.rank, l.uid, l.size, r.need, abs(r.need - l.size) as off from left0 l join r1 r on l.source is not distinct from r.source where not exists (select 1 from close1 c where c.uid = l.uid and c.source is not distinct from l.source)),
-close2 as (select source, arg_min(uid, (off, rank, uid)) as uid from left1 where off < need group by source),
-extra as (select source, uid from t0 union select source, uid from close1 union select source, uid from close2)
+""" + "".join(
+    f"""close{i + 1} as (select source, arg_min(uid, (off, rank, uid)) as uid, arg_min(size, (off, rank, uid)) as size from left{i} where (size <= need or {i} = 3) and off < need group by source),
+r{i + 1} as (select r.source, r.need - coalesce(c.size, 0) as need from r{i} r left join close{i + 1} c on c.source is not distinct from r.source),
+left{i + 1} as (select l.source, l.rank, l.uid, l.size, r.need, abs(r.need - l.size) as off from left{i} l join r{i + 1} r on l.source is not distinct from r.source where not exists (select 1 from close{i + 1} c where c.uid = l.uid and c.source is not distinct from l.source)),
+"""
+    for i in range(4)
+) + r"""extra as (select source, uid from t0 union select source, uid from close1 union select source, uid from close2 union select source, uid from close3 union select source, uid from close4)
 select r.doc_id, r.size, r.source_size, r.target, cast((r.whole + case when e.uid is not null then 1 else 0 end) * r.size as bigint) as taken
 from ranked r left join extra e on r.source is not distinct from e.source and r.uid = e.uid
 """

@@ -102,16 +102,19 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_column: str, name: st
     """rows with a boolean column: false only where the key is none of the ids (a written table).
 
     The ids go into a bitmap by hash, about 16 bits for each and at most most_buckets * 4 KB in all, whatever their
-    number; that bitmap alone is broadcast. More ids than fit make it let more rows through, never fewer.
+    number; that bitmap alone is broadcast. More ids than fit make it let more rows through, never fewer. A null key is
+    none of the ids. `name` must be no column of rows; other names may clash.
     """
     bits = 32_768  # of a bucket, as bitmap_construct_agg has it
     buckets = max(1, min(most_buckets, ids.count() * 16 // bits + 1))
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets * bits))
     held = ids.select(place(id_column).alias("p")).groupBy(F.floor(F.col("p") / bits).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("p") % bits).alias("__bits"))
-    at = rows.withColumn("__at", place(key)).withColumn("__of", F.floor(F.col("__at") / bits))
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") % bits / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
-    return at.join(F.broadcast(held), F.col("__of") == F.col("__bucket"), "left").withColumn(name, hit).drop("__at", "__of", "__bucket", "__bits")
+    at_, of, bucket, held_bits = unused(rows, "at", "of", "bucket", "bits")
+    held = held.toDF(bucket, held_bits)
+    at = rows.withColumn(at_, place(key)).withColumn(of, F.floor(F.col(at_) / bits))
+    byte = F.conv(F.hex(F.substring(held_bits, F.floor(F.col(at_) % bits / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(at_) % 8).cast("int")) == 1, F.lit(False))
+    return at.join(F.broadcast(held), F.col(of) == F.col(bucket), "left").withColumn(name, hit).drop(at_, of, bucket, held_bits)
 
 
 def remainder(column: str, by: int):

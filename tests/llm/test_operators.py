@@ -667,6 +667,24 @@ def test_first_seen_lines_by_batch(spark, scratch):
     assert [x.count() for x in linededup.first_seen(batches, scratch, fanout=2)] == [2, 1, 0]
 
 
+def test_runs_are_joined_without_exchange_or_sort(spark, scratch):
+    store = linededup.LineRuns(scratch)
+    for ids in ([9, 8], [7, 6]):
+        lines = linededup.long_lines(frame(spark, ["a" * 45 + "\n" + "b" * (40 + i) for i in ids], ids=ids), 40)
+        store.admit(lines.select("doc_id", "h1", "h2").distinct())
+    with linededup._sorted_buckets(spark):
+        plan = store.fresh(store.tallies[-1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and " Sort " not in plan
+    assert sorted(r["keeper"] for r in store.repeated(4).collect()) == [9]
+
+
+def test_long_documents_of_repeated_lines(spark, scratch):
+    lines = [f"{i:050d}" for i in range(100_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i in range(5)], "doc_id long, text string")
+    got = by_id(linededup.drop_repeated_lines(docs, scratch))
+    assert [(got[i]["n_lines"], got[i]["n_dropped"]) for i in range(5)] == [(100_000, 100_000)] * 4 + [(100_000, 0)]
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@
    corrected for chance collisions. Inside a bucket only the edges of a spanning forest of plausible pairs are emitted,
    never all pairs.
 3. Candidate clusters (components of that forest) are confirmed on full sets, again as a spanning forest: each pair in
-   a cluster is either compared exactly or already known to be connected.
+   a cluster is either compared exactly or already known to be connected. In a large cluster a few members look at all,
+   then those that this leaves outside the main tree.
 """
 
 from __future__ import annotations
@@ -207,91 +208,143 @@ def _bucket_edges(least: int):
     return run
 
 
-def _confirm(k: int, percent: int):
-    def run(batches):
-        for t in runs(batches, ["cluster", "i", "j"]):
-            node = t["node"].combine_chunks().to_numpy(zero_copy_only=False)
-            data, offsets = strings(t["text"])
-            sets, ptr = shingles(words(data, offsets, SPACE), k)
-            size = np.diff(ptr)
-            some = np.flatnonzero(size)
-            if len(some) < 2:
-                continue
-            at = ptr[:-1][some]
-            # shingles as places in the cluster's own list, so that a set is a mask
-            _, place = np.unique(sets, return_inverse=True)
-            mask = np.zeros(int(place.max()) + 1, bool)
-
-            def linked_to(i: int) -> np.ndarray:
-                own = place[ptr[some[i]] : ptr[some[i] + 1]]
+EDGES = "a long, b long"
+ALL, MEMBER, LOOKER = 0, 1, 2
+
+
+def _same_text(k: int, percent: int):
+    """Texts of a unit -> for row i the rows whose shingle sets are near enough to its own; empty sets are near none."""
+
+    def make(t: pa.Table):
+        data, offsets = strings(t["body"])
+        sets, ptr = shingles(words(data, offsets, SPACE), k)
+        size = np.diff(ptr)
+        some = np.flatnonzero(size)
+        at = ptr[:-1][some]
+        # shingles as places in the unit's own list, so that a set is a mask
+        _, place = np.unique(sets, return_inverse=True)
+        mask = np.zeros(len(sets) + 1, bool)
+
+        def linked_to(i: int) -> np.ndarray:
+            out = np.zeros(len(size), bool)
+            if size[i]:
+                own = place[ptr[i] : ptr[i + 1]]
                 mask[own] = True
                 both = np.add.reduceat(mask[place], at, dtype=np.int64)
                 mask[own] = False
-                return 100 * both >= percent * (size[some] + len(own) - both)
+                out[some] = 100 * both >= percent * (size[some] + len(own) - both)
+            return out
+
+        return linked_to
+
+    return make
+
+
+def _same_signature(least: int):
+    def make(t: pa.Table):
+        sig = np.frombuffer(b"".join(t["body"].to_pylist()), np.uint64).reshape(-1, LONGS)
+        return lambda i: equal_slots(sig, sig[i]) >= least
+
+    return make
+
+
+def _unit_edges(make):
+    """Units sorted by (g, lot, block) -> edges: a spanning forest of the whole unit, or of what its lookers see."""
 
-            edges = spanning(len(some), linked_to)
+    def run(batches):
+        for t in runs(batches, ["g", "lot", "block"]):
+            node, kind = (t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "kind"))
+            if len(node) < 2 or (kind == MEMBER).all():
+                continue
+            linked_to = make(t)
+            if kind[0] == ALL:
+                edges = spanning(len(node), linked_to)
+            else:
+                forest, edges = Forest(len(node)), []
+                for i in np.flatnonzero(kind == LOOKER).tolist():
+                    edges += [(i, j) for j in np.flatnonzero(linked_to(i)).tolist() if forest.join(i, j)]
+            del linked_to
             if edges:
-                e = some[np.array(edges)]
+                e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], names=["a", "b"])
+            release()
 
     return run
 
 
-EDGES = "a long, b long"
-
+def linked_in_groups(members: DataFrame, make, scratch: Scratch, block_bytes: int, block_rows: int, first: int = 16, at_once: int = 256) -> DataFrame:
+    """members (g, node, body), written -> edges that connect what links inside groups connect.
 
-def candidate_edges(reps: DataFrame, scratch: Scratch, least: int, most: int = 20_000) -> DataFrame:
+    A group of up to block_bytes and block_rows is one unit of work. Of a larger one, cut into blocks, about `first`
+    members look at all others; the largest tree that gives is the main one. Then everyone outside it looks at all
+    members. Of two linked members one has looked, or both are in the main tree, so no link is lost. A member is sent to
+    one unit for every at_once lookers, once where nearly all are near each other, and never to all pairs of blocks.
+    """
+    unit = ["g", "lot", "block"]
+    zero = F.lit(0).cast("long")
+
+    def edges_of(units: DataFrame) -> DataFrame:
+        dealt = units.select(*unit, "node", "body", "kind").repartition(*unit).sortWithinPartitions(*unit)
+        return scratch.keep(dealt.mapInArrow(_unit_edges(make), EDGES).where("a <> b"), "unit-edges")
+
+    size = F.octet_length("body") if dict(members.dtypes)["body"] == "string" else F.length("body")
+    blocks = F.greatest(F.ceil(F.sum(size) / block_bytes), F.ceil(F.count("*") / block_rows))
+    sizes = scratch.keep(members.groupBy("g").agg(F.count("*").alias("n"), blocks.cast("long").alias("blocks")).where("blocks > 1"), "large")
+    large = members.join(sizes.hint("rebalance"), "g", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    edges = edges_of(large.where("blocks is null").withColumns({"lot": zero, "block": zero, "kind": F.lit(ALL)}))
+    if sizes.isEmpty():
+        return edges
+    large = scratch.keep(large.where("blocks is not null"), "large-members")
+
+    def looks(lookers: DataFrame, lots: DataFrame) -> DataFrame:
+        """lookers (g, node), lots (g, lots): the edges of what they see among all members of their groups."""
+        of = lookers.join(lots, "g").withColumn("lot", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("lots"))).select("g", "node", "lot")
+        theirs = large.join(of, ["g", "node"]).withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("kind", F.lit(LOOKER))
+        others = large.join(lots, "g").withColumn("lot", F.explode(F.sequence(zero, F.col("lots") - 1))).withColumn("kind", F.lit(MEMBER))
+        return edges_of(theirs.select(*unit, "node", "body", "kind").unionAll(others.select(*unit, "node", "body", "kind")))
+
+    step = F.greatest(F.ceil(F.col("n") / first), F.lit(1))
+    chosen = scratch.keep(large.where(F.pmod(F.xxhash64(F.lit(5), "node"), step) == 0).select("g", "node").distinct(), "lookers")
+    seen = looks(chosen, sizes.select("g", F.lit(1).cast("long").alias("lots")))
+    trees = components(seen, scratch)
+    placed = scratch.keep(large.select("g", "node").distinct().join(trees, "node", "left"), "placed")
+    main = placed.where("component is not null").groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"))
+    outside = placed.join(main.hint("rebalance"), "g", "left").where("main is null or component is null or component <> main").select("g", "node")
+    outside = scratch.keep(outside.join(chosen, ["g", "node"], "left_anti"), "outside")
+    if outside.isEmpty():
+        return edges.unionAll(seen)
+    lots = outside.groupBy("g").agg(F.ceil(F.count("*") / at_once).cast("long").alias("lots"))
+    return edges.unionAll(seen).unionAll(looks(outside, scratch.keep(lots, "lots")))
+
+
+def candidate_edges(reps: DataFrame, scratch: Scratch, least: int, most: int = 4_000) -> DataFrame:
     """reps (node, bands, sig) -> edges (a, b) that connect what plausible pairs inside buckets connect.
 
-    Buckets of up to `most` members are looked at in one task each. In a larger one all members are first compared
-    with the bucket's smallest; those that are not plausible partners of it are joined to all other members, and only
-    plausible pairs leave the join. So no bucket is cut, and none is gathered whole in a task.
+    Buckets of up to `most` members are looked at in one task each, larger ones in blocks. No bucket is cut, and none
+    is gathered whole in a task.
     """
     rows = reps.select("node", "bands").mapInArrow(_explode_bands, "node long, band long")
-    shared = scratch.keep(rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "shared")
-    members = rows.join(shared, "band").select("band", "n", "head", "node")
-    members = members.join(reps.select("node", "sig"), "node").select("band", "n", "head", "node", "sig")
+    shared = scratch.keep(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = rows.join(shared, "band").select("band", "n", "node")
+    members = members.join(reps.select("node", "sig"), "node").select("band", "n", "node", "sig")
     members = scratch.keep(members, "members")
     small = members.where(F.col("n") <= most).select("band", "node", "sig").repartition("band").sortWithinPartitions("band")
     edges = small.mapInArrow(_bucket_edges(least), EDGES)
     if shared.where(F.col("n") > most).isEmpty():
         return edges
-
-    @F.pandas_udf("boolean")
-    def plausible(x, y):
-        a, b = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), LONGS) for v in (x, y))
-        import pandas as pd
-
-        return pd.Series(equal_slots(a, b) >= least)
-
-    large = members.where(F.col("n") > most)
-    heads = large.where("node = head").select("band", F.col("sig").alias("head_sig"))
-    starred = scratch.keep(large.join(heads, "band").withColumn("near", plausible("sig", "head_sig")).drop("head_sig"), "starred")
-    far = starred.where("not near").select("band", F.col("node").alias("a"), F.col("sig").alias("a_sig"))
-    pairs = far.join(large.select("band", F.col("node").alias("b"), "sig"), "band").where("a <> b").where(plausible("a_sig", "sig"))
-    return edges.unionAll(starred.where("near and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionAll(pairs.select("a", "b"))
+    large = scratch.keep(members.where(F.col("n") > most).select(F.col("band").alias("g"), "node", F.col("sig").alias("body")), "large-buckets")
+    return edges.unionAll(linked_in_groups(large, _same_signature(least), scratch, 1 << 40, most))
 
 
-def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20, one_task: int = 256) -> DataFrame:
+def confirmed_edges(docs: DataFrame, clusters: DataFrame, scratch: Scratch, k: int, percent: int, block_bytes: int = 8 << 20, one_task: int = 512) -> DataFrame:
     """docs (doc_id, text), clusters (node, component) -> edges that connect what pairs of at least percent connect.
 
-    Texts are shuffled to their clusters after a bitmap of bounded size has let most of the others go. A cluster of up
-    to block_bytes of text and one_task documents is one unit of work. A larger one is cut into blocks, more of them the
-    more documents it has, and each pair of blocks is a unit, so that a task holds two blocks at most, the work on a
-    large cluster is spread, and every pair of documents meets.
+    Texts are shuffled to their clusters after a bitmap of bounded size has let most of the others go.
     """
     clusters = scratch.keep(clusters, "clusters")
     texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", clusters, "node").where("__maybe").drop("__maybe")
-    texts = texts.join(clusters, "node").select(F.col("component").alias("cluster"), "node", "text")
-    texts = scratch.keep(texts, "texts")
-    full = F.ceil(F.sum(F.octet_length("text")) / block_bytes)
-    many = F.when(F.count("*") > one_task, F.ceil(F.sqrt(F.count("*")) / 3)).otherwise(1)
-    sizes = texts.groupBy("cluster").agg(F.greatest(full, many).cast("int").alias("blocks")).where("blocks > 1").hint("rebalance")
-    cut = texts.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = cut.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
-    return units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(k, percent), EDGES)
+    texts = scratch.keep(texts.join(clusters, "node").select(F.col("component").alias("g"), "node", F.coalesce("text", F.lit("")).alias("body")), "texts")
+    return linked_in_groups(texts, _same_text(k, percent), scratch, block_bytes, one_task)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:

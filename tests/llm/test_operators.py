@@ -516,6 +516,8 @@ def test_large_buckets_and_clusters_lose_nothing(spark, scratch):
         for _ in range(rng.randint(0, 12)):
             w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
         texts.append(" ".join(w))
+    other = start[:60] + prose(rng, 20).split()  # a second group in the same candidate cluster
+    texts += [" ".join(other[:i] + [rng.choice(VOCABULARY)] + other[i + 1 :]) for i in range(0, 80, 3)]
     docs, want = frame(spark, texts), plain_groups(texts, 2)[0]
     reps = neardup.sketches(docs, 2).select(F.col("doc_id").alias("node"), "bands", "sig").dropDuplicates(["node"])
     least = neardup.least_slots(0.8)
@@ -525,6 +527,11 @@ def test_large_buckets_and_clusters_lose_nothing(spark, scratch):
         linked = by_id(components.components(neardup.confirmed_edges(docs, clusters, scratch, 2, 80, block_bytes=3_000), scratch), "node")
         groups.append([linked[i]["component"] if i in linked else i for i in range(len(texts))])
     assert groups == [want, want]
+    one = scratch.keep(frame(spark, texts).select(F.lit(1).cast("long").alias("g"), F.col("doc_id").alias("node"), F.col("text").alias("body")))
+    for first, at_once in ((1, 2), (90, 1_000)):
+        linked = by_id(components.components(neardup.linked_in_groups(one, neardup._same_text(2, 80), scratch, 1 << 30, 10, first, at_once), scratch), "node")
+        assert [linked[i]["component"] if i in linked else i for i in range(len(texts))] == want
+    assert len(set(want)) > 2
 
 
 def test_spanning_forest_has_the_components():
@@ -719,7 +726,7 @@ def test_near_vectors_are_the_plain_links(spark, scratch):
     assert vectors.near_vectors(df.limit(0), scratch).count() == 0
 
 
-def plain_groups(rows, threshold=0.98):
+def plain_vector_groups(rows, threshold=0.98):
     m = np.array([v for _, v, _ in rows])
     m /= np.linalg.norm(m, axis=1)[:, None]
     near = m @ m.T >= threshold
@@ -739,7 +746,7 @@ def test_near_vectors_join_groups_with_full_lists(spark, scratch, noise):
     x, y = np.eye(16)[0], np.eye(16)[0] * 0.985 + np.eye(16)[1] * (1 - 0.985**2) ** 0.5
     rows = [(20 * i + 1 + (i % 2), [float(a) for a in (x if i % 2 else y) + rng.standard_normal(16) * noise], 0) for i in range(120)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_groups(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_vector_groups(rows)
     assert {(r["n_links"], r["component_id"]) for r in got} == {(119, 1)}
 
 
@@ -752,4 +759,4 @@ def test_near_vectors_small_groups_beside_a_large_one(spark, scratch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     for more in ({}, {"fewest": 1, "least_recall": 1.0}):
         got = vectors.near_vectors(df, scratch, k=4, tables=1, reach=1, most_rounds=1, attempts=1, every=7, **more).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_groups(rows)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_vector_groups(rows)

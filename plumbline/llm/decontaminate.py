@@ -210,7 +210,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     """The documents without what they share with the benchmark; columns stay, n_chars follows the text.
 
     Each stretch of hit words is cut out of its text. A document of whose words more than most_coverage are hit goes
-    as a whole. All others are kept; a text without hits, null included, is not touched.
+    as a whole. All others are kept; a text without hits, null and empty ones included, is not touched. Whole texts are
+    read, of any length; repeated rows are treated alike, rows without doc_id like others, columns of any name stay, and
+    empty tables are no special case.
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]

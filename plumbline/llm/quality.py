@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import pieces, release, strings
+from .base import pieces, release, strings, unused
 from .text import SPACE, join, mix, words
 
 FEATURES = 1 << 18
@@ -189,8 +189,9 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = 4_000) -> Model:
     return fit(rows, got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, any others) -> the same rows with score, from the text alone; null counts as empty."""
+def score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs (doc_id, text, any others) -> the same rows with a score of that name, from the text alone; null counts as
+    empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of FEATURES numbers, whatever the input
     names = docs.columns
     at = names.index("text")
@@ -200,21 +201,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             data, offsets = strings(batch.column(at))
             parts = [held.value.score(*features(data, offsets[a : b + 1])) for a, b in pieces(offsets, 2 << 20)]
             release()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, most: int = 4_000, threshold: float = 0.7) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score (0 to 1), predicted.
 
-    Every document is scored, empty ones and those without an id too; repeated rows score alike; an empty table gives
-    no rows; without usable labels the score is one half.
+    Every document is scored, empty ones and those without an id too; whole texts are read, of any length; repeated rows
+    and texts with equal features score alike, and a score that equals the threshold counts as good; an empty table gives
+    no rows; without usable labels the score is one half. Other columns are ignored, whatever their names.
     """
-    scored = score(docs.select("doc_id", "text"), train(docs, labelled, most))
-    return scored.select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), train(docs, labelled, most), "score")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labelled: DataFrame, most: int = 4_000, threshold: float = 0.7) -> DataFrame:
-    """The documents that score at least threshold; columns stay."""
-    return score(docs, train(docs, labelled, most)).where(F.col("__score") >= threshold).select(*docs.columns)
+    """The documents that score at least threshold. All columns stay, whatever their names; odd rows count as for
+    quality_scores: null and empty texts have the score of a text without features, rows without an id and repeated rows
+    are judged by their text, and an empty table gives no rows."""
+    (name,) = unused(docs, "score")
+    return score(docs, train(docs, labelled, most), name).where(F.col(name) >= threshold).drop(name)

@@ -557,6 +557,14 @@ def test_components_of_chains_and_hubs(spark, scratch):
     assert got == {**dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(500, 560), 500), 9: 3, 3: 3}
 
 
+def test_bitmap_lets_all_ids_through(spark, scratch):
+    ids = scratch.keep(spark.range(0, 3_000, 3).select(F.col("id").alias("x")))
+    rows = spark.range(3_000).select("id", F.lit(b"z").alias("__bits"), F.lit(1).alias("__of"), F.lit(2).alias("__at")).unionAll(spark.sql("select cast(null as bigint), binary('z'), 1, 2"))
+    got = base.maybe_in(rows, "id", ids, "x", most_buckets=2).collect()
+    assert all(r["__maybe"] for r in got if r["id"] is not None and r["id"] % 3 == 0) and sum(r["__maybe"] for r in got) < 1_200
+    assert {(bytes(r["__bits"]), r["__of"], r["__at"]) for r in got} == {(b"z", 1, 2)} and len(got) == 3_001
+
+
 def test_bit_similarity_is_near_the_real_one():
     rng = np.random.default_rng(0)
     both = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -580,12 +588,77 @@ def test_quality_learns_and_scores_everything(spark):
     assert len(got) == len(texts) + 1 and all(0 <= r["score"] <= 1 for r in got)
     right = [r["predicted"] == int(r["doc_id"] < 150) for r in got if r["doc_id"] < 230 and r["doc_id"] % 2]
     assert sum(right) / len(right) > 0.95
+    clash = docs.withColumns({"__score": F.lit(-7), "Score": F.lit("s")})
+    kept = quality.keep_good(clash, labelled)
+    assert kept.columns == clash.columns and {(r["__score"], r["Score"]) for r in kept.collect()} == {(-7, "s")}
     kept = quality.keep_good(docs, labelled)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["predicted"]}
     assert {r["score"] for r in quality.quality_scores(docs, labelled.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(frame(spark, []), labelled).count() == 0
 
 
+def plain_features(text):
+    """Classes of letters by runs, whether a word repeats the one before, n-grams of that up to three, and words."""
+    shapes, found, last = [], set(), None
+    for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()):
+        if not w:
+            continue
+        kind = re.sub(rb"[\x80-\xff]", b"a", re.sub(rb"[a-z]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", w))))
+        low = w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+        shapes.append((re.sub(rb"(.)\1+", rb"\1", kind, flags=re.S), low == last))
+        last = low
+        found.add(("word", low))
+    for n in (1, 2, 3):
+        found.update(tuple(shapes[i : i + n]) for i in range(len(shapes) - n + 1))
+    return found
+
+
+def test_quality_features_are_the_plain_ones():
+    """Equal plain features have equal numbers, and there are as many numbers as features but for hash collisions."""
+    rng = random.Random(14)
+    words = ["Hello", "hello", "WORLD", "it's", "42", "!!", "x1y2", "été", "a", "A.", "Foo-Bar"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) + rng.choice(["", "\n", " \t end"]) for _ in range(200)] + ["", " "]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, ptr = quality.features(np.frombuffer(data, np.uint8), offsets)
+    number, plain = {}, [plain_features(t) for t in texts]
+    for t, want in enumerate(plain):
+        assert abs(ptr[t + 1] - ptr[t] - len(want)) <= 1, texts[t]
+        own = set(ids[ptr[t] : ptr[t + 1]].tolist())
+        for f in want:
+            number[f] = number.get(f, own) & own
+    assert all(number.values())  # each feature has a number that is in all of its texts
+    assert len(plain[-1]) == 0 == ptr[-1] - ptr[-2]
+
+
+def test_quality_hinge_and_platt_are_at_their_optimum():
+    rng = np.random.default_rng(15)
+    y = np.where(rng.random(60) < 0.6, 1.0, -1.0)
+    rows = [np.unique(np.where(rng.random(12) < (0.7 if up > 0 else 0.3), rng.integers(0, 20, 12), rng.integers(15, 40, 12))) for up in y]
+    ratio, cost = rng.standard_normal(40) + 0.1, np.where(y > 0, 0.7, 1.3)
+    weight, bias = quality._hinge(rows, y, ratio, cost, 3_000, 1)
+    x = np.zeros((60, 41))
+    for i, r in enumerate(rows):
+        v = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, r], x[i, 40] = v, 1.0
+    whole = np.append(weight, bias)
+    primal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    # projected gradient on the dual gives a plain lower bound
+    q, a = (y[:, None] * x) @ (y[:, None] * x).T, np.zeros(60)
+    for _ in range(20_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.eigvalsh(q)[-1] if _ == 0 else a - (q @ a - 1) * step, 0, cost)
+        step = 1 / np.linalg.eigvalsh(q)[-1] if _ == 0 else step
+    dual = a.sum() - 0.5 * a @ q @ a
+    assert dual - 1e-6 <= primal(whole) <= dual + 0.02 * abs(dual)
+    margin = rng.standard_normal(200)
+    side = np.where(rng.random(200) < 1 / (1 + np.exp(-(2 * margin + 0.5))), 1.0, -1.0)
+    slope, shift = quality._platt(margin, side)
+    up, down = (side > 0).sum(), (side <= 0).sum()
+    t = np.where(side > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    loss = lambda a, b: -(t * np.log(1 / (1 + np.exp(-(a * margin + b)))) + (1 - t) * np.log(1 - 1 / (1 + np.exp(-(a * margin + b))))).sum()
+    assert all(loss(slope, shift) <= loss(slope + da, shift + db) + 1e-5 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------
 
 
@@ -724,6 +797,9 @@ def test_near_vectors_are_the_plain_links(spark, scratch):
                     todo.append(j)
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, ())), min(seen), min(seen) == i)
     assert vectors.near_vectors(df.limit(0), scratch).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = {tuple(sorted(map(tuple, vectors.near_vectors(twice.repartition(n), scratch).collect()))) for n in (1, 3, 4)}
+    assert got == {((1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False))}
 
 
 def plain_vector_groups(rows, threshold=0.98):

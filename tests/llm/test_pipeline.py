@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import plain_groups, plain_report, plain_targets, prose, split_words
 
 import corpus_pipeline as pipeline
@@ -93,3 +94,28 @@ def test_tokens_are_those_of_the_mix(spark, made):
         assert (at, i, n, crc) == (start, r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert sorted(map(tuple, pipeline.run(spark, folder).collect())) == sorted(map(tuple, out[5].collect()))
+
+
+def test_odd_rows_and_clashing_names(spark, made, tmp_path):
+    """Null and empty texts, no id, repeated rows, a very long text, and columns named as the stages' own."""
+    folder, _ = made
+    rng = random.Random(22)
+    good = [prose(rng, 40).capitalize() + "." for _ in range(8)]
+    long = " ".join(prose(rng, 30).capitalize() + "." for _ in range(3_000))
+    texts = [(1, None), (2, ""), (3, good[0]), (3, good[0]), (None, good[1]), (5, good[2]), (6, good[2]), (7, long), (8, good[3])]
+    names = {c: F.lit(-7) for c in ("__score", "__maybe", "__size", "__of", "__bits", "__uid", "node", "component")}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in texts], SCHEMA).withColumns(names)
+    now = docs
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, now, folder).write.parquet(str(tmp_path / f"odd-{k}"))
+        now = spark.read.parquet(str(tmp_path / f"odd-{k}"))
+        if name != "token_output":
+            assert now.columns == docs.columns and {tuple(r) for r in now.select(*names).collect()} == {(-7,) * len(names)}
+        if name == "quality":
+            assert {(r["doc_id"], r["text"]) for r in now.collect()} >= {(3, good[0]), (None, good[1]), (7, long)}
+        if name == "near_dedup":
+            kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+            assert (6, good[2]) not in kept and (5, good[2]) in kept and kept.count((3, good[0])) == 2 and (None, good[1]) in kept and (7, long) in kept
+    assert now.count() > 0
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name

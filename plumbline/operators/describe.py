@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import wilson
@@ -46,15 +48,35 @@ def repeated(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).agg(F.count("*").alias("kinds"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
+def values_at(counted: DataFrame, by: list[str], places: dict[str, Column], parts: int = 32) -> DataFrame:
+    """counted (by..., x, c), one row a distinct value -> by..., n, largest, and for each named place the value there in
+    sorted order (0 is the smallest; a place is an expression of n).
+
+    Groups are cut into parts by quantile sketches of their values, counts are summed by part, and a value is found by
+    its count within its part. So no task sorts a whole group, and the sketch decides on the work alone, not on the result.
+    """
+    bounds = F.percentile_approx("x", [i / parts for i in range(1, parts)], parts * 10)
+    cuts = counted.groupBy(*by).agg(bounds.alias("cuts"), F.sum("c").alias("n"), F.max("x").alias("largest"))
+    key = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in by], "cuts", "n", "largest")
+    at = counted.join(F.broadcast(cuts), reduce(lambda a, x: a & x, key)) if by else counted.crossJoin(F.broadcast(cuts))  # one row
+    at = at.withColumn("part", F.size(F.filter("cuts", lambda q: q < F.col("x")))).drop("cuts", *[f"__{c}" for c in by])
+    sums = at.groupBy(*by, "part").agg(F.sum("c").alias("s"))
+    before = F.sum("s").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("before", F.coalesce(before, F.lit(0))).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("part").alias("__part"), "before")
+    both = at.join(F.broadcast(sums), reduce(lambda a, x: a & x, key, F.col("part") == F.col("__part")))  # at most `parts` rows a group
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "part").orderBy("x"))
+    both = both.withColumn("upto", upto)
+    picks = [F.min(F.when(F.col("upto") > place, F.col("x"))).alias(name) for name, place in places.items()]
+    return both.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks, F.max("largest").alias("largest"))
+
+
 def order_statistics(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """One row: for each share p the value at place min(n - 1, int(p n)) of the sorted values, not interpolated, and
-    the largest. Places are found by counting equal values first, so the sort is over distinct values."""
-    from pyspark.sql import Window
-
+    the largest. Equal values are counted first."""
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
-    ranked = counted.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("x"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares]
-    return ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *picks, F.max("x").alias("largest"))
+    places = {f"p{p * 100:g}".replace(".", "_"): F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))) for p in shares}
+    return values_at(counted, [], places)
 
 
 def conditional(left: DataFrame, right: DataFrame, on: str, given: Column, then: Column, alpha: float = 0.05) -> DataFrame:

@@ -55,12 +55,19 @@ def sample(ids: DataFrame, column: str, size: int, seed: int, method: str = "bla
     return ranked.orderBy("rank", column).limit(size)
 
 
+#: Bytes of the one string that a fingerprint hashes: a population is a list of names, and a string ends at 2 GB.
+LARGEST_POPULATION = 1 << 30
+
+
 def fingerprint(ids: DataFrame, column: str) -> DataFrame:
     """One row: n, sha256 of the sorted distinct ids joined by line ends. The one string that is hashed grows with the
-    ids; populations are lists of names."""
+    ids, so a population of more than LARGEST_POPULATION bytes is an error, raised before anything is gathered."""
     text = F.col(column).cast("string")
     listed = ids.select(text.alias("id")).where("id is not null").distinct()
-    return listed.selectExpr("count(*) as n", "sha2(coalesce(listagg(id, '\n') within group (order by id), ''), 256) as sha256")
+    size = listed.agg(F.sum(F.octet_length("id") + 1)).first()[0] or 0
+    if size > LARGEST_POPULATION:
+        raise ValueError(f"a population of {size} bytes of ids; a fingerprint takes {LARGEST_POPULATION}")
+    return listed.selectExpr("count(*) as n", "sha2(coalesce(listagg(id, '\\n') within group (order by id), ''), 256) as sha256")
 
 
 def first_rows(frames: DataFrame, n: int) -> DataFrame:

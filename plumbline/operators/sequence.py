@@ -102,7 +102,7 @@ def per_episode(frames: DataFrame) -> DataFrame:
 
 def jitter(frames: DataFrame) -> DataFrame:
     """dataset, dt_jitter_ratio: median absolute deviation of all intervals from their median, in periods. Any interval
-    that is not a number makes it null."""
+    that is not a number makes it null. A median's buffer holds the different intervals of a dataset, each once."""
     dts = steps(frames).where("timed").select("dataset", "dt", "fps")
     odd = F.bool_or(~F.coalesce(finite(F.col("dt")), F.lit(False)))
     middle = dts.groupBy("dataset").agg(F.median("dt").alias("middle"), odd.alias("odd"))

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators.report import as_records, evidence, has_flag, report
 from ..sources import ledger, synth, thresholds
-from ..sources.episodes import LocalSource, SyntheticSource
+from ..sources.episodes import LocalSource, RemoteSource, SyntheticSource, downloading
+from ..sources.hub import HubClient
 from . import survey
 
+#: Files of a dataset that a quick audit reads where it is not told how many.
+FILE_CAP = 25
+
 SHOWN = ("repo", "codebase", "fps", "episodes_sampled", "frames_sampled", "frac_bad_dt", "stuck_state_frac", "identity_frac", "lag_frames", "r_best", "dup_episode_frac", "flags")
 
 
@@ -44,16 +48,38 @@ def quick(spark: SparkSession, source, repos: list[str], limit: int | None, limi
     return survey.deep_records(spark, source, rows, fetched, limit, limits)
 
 
+def chosen_source(spark: SparkSession, args, client: HubClient | None = None):
+    """The source that the options of an audit name, and the datasets."""
+    if args.source == "local":
+        if args.top:
+            raise SystemExit("--top asks a hub; choose --source stream or download")
+        return LocalSource(spark, args.root), args.repos
+    client = client or HubClient(args.root.rstrip("/"))
+    below = (args.max_mb, 0 if args.no_file_cap else FILE_CAP)
+    if args.source == "download":
+        source = downloading(client, args.copies, files_below=below)
+    else:
+        source = RemoteSource(client, lambda repo, path: args.open.format(hub=args.root.rstrip("/"), repo=repo, path=path), files_below=below)
+    return source, args.repos + (client.list_top(args.tag, args.top) if args.top else [])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plumbline")
     p.add_argument("--thresholds", help="TOML file with [thresholds]")
     sub = p.add_subparsers(dest="what", required=True)
     d = sub.add_parser("demo", help="report on six synthetic datasets")
     d.add_argument("--out", help="CSV file")
-    a = sub.add_parser("audit", help="report on datasets in a folder")
-    a.add_argument("root")
-    a.add_argument("repos", nargs="+")
+    a = sub.add_parser("audit", help="report on datasets in a folder or on a hub")
+    a.add_argument("root", help="folder of the datasets; with --source stream or download, address of the hub")
+    a.add_argument("repos", nargs="*")
+    a.add_argument("--top", type=int, metavar="N", help="the N datasets of --tag that are fetched most often, from a hub")
+    a.add_argument("--tag", default="", help="tag of the datasets for --top")
     a.add_argument("--files", type=files, default=1)
+    a.add_argument("--max-mb", type=float, default=100.0, help="leave out larger files of a hub")
+    a.add_argument("--no-file-cap", action="store_true", help=f"with --files all, more than {FILE_CAP} files of a dataset")
+    a.add_argument("--source", choices=("local", "stream", "download"), default="local")
+    a.add_argument("--open", default="{hub}/datasets/{repo}/resolve/main/{path}", help="address that Spark opens for --source stream, with {hub}, {repo} and {path}")
+    a.add_argument("--copies", default="/tmp/plumbline-copies", help="folder shared by all machines for --source download")
     a.add_argument("--out", help="CSV file")
     s = sub.add_parser("survey", help="two-tier survey of a population")
     s.add_argument("root", help="folder of the datasets, or 'synthetic'")
@@ -72,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, client: HubClient | None = None) -> int:
     args = parser().parse_args(argv)
     limits = thresholds.load(args.thresholds)
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
@@ -93,7 +119,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(r["repo"], r["flags"])
             evidence(source.frames(spark, r["repo"], info, source.paths(r["repo"], info, 1))).show(truncate=False, vertical=True)
         return 0
-    records = demo(spark) if args.what == "demo" else quick(spark, LocalSource(spark, args.root), args.repos, args.files, limits)
+    if args.what == "demo":
+        records = demo(spark)
+    else:
+        source, repos = chosen_source(spark, args, client)
+        if not repos:
+            raise SystemExit("name datasets, or ask for the --top of a hub")
+        records = quick(spark, source, repos, args.files, limits)
     records = records.persist()
     show(records)
     if args.out:

@@ -16,6 +16,7 @@ from ..operators.report import as_records, report
 from ..sources import ledger
 
 TIERS = ("metadata", "deep", "both")
+PARTIAL = "partial: packed layout, first file only"
 
 
 class SurveyLocked(RuntimeError):
@@ -129,8 +130,9 @@ def deep_records(spark: SparkSession, source, rows: list[tuple], fetched: dict,
     from functools import reduce
 
     from ..sources.episodes import readable
+    from ..sources.layout import layout_family, partial_sample
 
-    parts, meta = [], []
+    parts, meta, opened = [], [], []
     for repo, revision, name, error, _ in rows:
         info = fetched[repo][0]
         note = ""
@@ -141,16 +143,27 @@ def deep_records(spark: SparkSession, source, rows: list[tuple], fetched: dict,
                     note = "no data sampled"
                 elif not paths[0].startswith("synthetic:"):
                     open_uri = getattr(source, "open_uri", lambda _, p: p)
-                    listed = spark.createDataFrame([(open_uri(repo, p),) for p in paths], "path string")
+                    uris = [open_uri(repo, p) for p in paths]
+                    opened += uris
+                    listed = spark.createDataFrame([(u,) for u in uris], "path string")
                     broken = readable(spark, listed).where("error <> ''").first()
                     error = broken["error"] if broken else ""
                 if paths and not error:
                     parts.append(source.frames(spark, repo, info, paths))
             except Exception as e:
                 error = f"{type(e).__name__}: {e}"
-        meta.append((repo, revision, name, error, note, str((info or {}).get("codebase_version", ""))))
-    known = spark.createDataFrame(meta, "repo string, revision string, source string, error string, note string, codebase string")
+        meta.append((repo, revision, name, error, note, str((info or {}).get("codebase_version", "")), str((info or {}).get("data_path", ""))))
+    known = spark.createDataFrame(meta, "repo string, revision string, source string, error string, note string, codebase string, data_path string")
+    # a source that can list files names all files of a packed dataset, any other just the first
+    listing = hasattr(source, "root") or hasattr(getattr(source, "client", None), "list_parquet")
+    partial = partial_sample(layout_family(F.col("data_path")), files, listing) & (F.col("error") == "") & (F.col("note") == "")
+    known = known.withColumn("note", F.when(partial, PARTIAL).otherwise(F.col("note"))).drop("data_path")
     if not parts:
         return as_records(known)
     got = report(reduce(DataFrame.unionByName, parts), thresholds).withColumnRenamed("dataset", "repo")
-    return as_records(known.join(got, "repo", "left"))
+    out = as_records(known.join(got, "repo", "left"))
+    if not hasattr(source, "close"):
+        return out
+    rows = out.collect()  # one a dataset of the batch, before its copies go
+    source.close(opened)
+    return spark.createDataFrame(rows, out.schema)

@@ -141,11 +141,16 @@ class SyntheticSource:
 @dataclass
 class RemoteSource:
     """Datasets behind a hub client. open_uri turns a relative path into one that Spark's reader opens: an object-store
-    address, of which only the projected columns are fetched, or a local copy that fetch() has made."""
+    address, of which only the projected columns are fetched, or a local copy that fetch() has made.
+
+    files_below, if given, bounds what is taken from the hub's listing of files (max_mb, cap) instead of naming files from
+    the metadata.
+    """
 
     client: object
     open_uri: Callable[[str, str], str]
     forget: Callable[[str], None] | None = None
+    files_below: tuple[float | None, int] | None = None
 
     def info(self, repo: str) -> dict | None:
         return self.client.get_info(repo)
@@ -153,16 +158,20 @@ class RemoteSource:
     def revision(self, repo: str) -> str:
         return self.client.get_revision(repo)
 
+    def exists(self, repo: str, path: str) -> bool:
+        return self.client.exists(repo, path)
+
     def paths(self, repo: str, info: dict, limit: int | None) -> list[str]:
-        listed = getattr(self.client, "list_parquet", None)
-        spark = SparkSession.getActiveSession()
         from .layout import derive_paths
 
+        spark = SparkSession.getActiveSession()
+        listing = lambda: spark.createDataFrame([(repo, p, n) for p, n in self.client.list_parquet(repo)], "dataset string, path string, size long")
+        if self.files_below is not None:
+            return [r["path"] for r in tree_sample(listing(), limit, *self.files_below).orderBy("path").collect()]
         row = (repo, info.get("data_path", ""), info.get("chunks_size"), info.get("total_episodes"), info.get("num_shards"))
         infos = spark.createDataFrame([row], "dataset string, data_path string, chunks_size long, total_episodes long, num_shards long")
-        listing = spark.createDataFrame([(repo, p) for p in listed(repo)], "dataset string, path string") if listed and limit is None else None
-        got = derive_paths(infos, limit, listing).orderBy("place").collect()
-        return [r["path"] for r in got]
+        known = listing().select("dataset", "path") if limit is None and hasattr(self.client, "list_parquet") else None
+        return [r["path"] for r in derive_paths(infos, limit, known).orderBy("place").collect()]
 
     def frames(self, spark: SparkSession, repo: str, info: dict, paths: list[str]) -> DataFrame:
         return read_frames(spark, [self.open_uri(repo, p) for p in paths], F.lit(repo), _fps(info))
@@ -177,13 +186,32 @@ class RemoteSource:
                     pass
 
 
+def downloading(client, folder: str, **options) -> RemoteSource:
+    """A remote source that fetches whole files into a folder that driver and executors share, and removes them."""
+    import os
+    from urllib.parse import unquote, urlparse
+
+    def fetch(repo: str, path: str) -> str:
+        target = os.path.join(folder, repo, path)
+        if not os.path.exists(target):
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            body, _ = client.fetch(client.file_url(repo, path))
+            with open(f"{target}.part", "wb") as f:
+                f.write(body)
+            os.replace(f"{target}.part", target)
+        return f"file://{target}"
+
+    return RemoteSource(client, fetch, lambda uri: os.unlink(unquote(urlparse(uri).path)), **options)
+
+
 def tree_sample(listing: DataFrame, max_files: int | None, max_mb: float | None, cap: int = 25) -> DataFrame:
-    """listing (dataset, path, size) -> the parquet files of each dataset's first chunk folder below data/, not larger
-    than max_mb, in order of their paths, up to max_files; without a number, up to the cap (0: no cap)."""
-    chunk = F.regexp_extract("path", r"^(data/[^/]+)/", 1)
+    """listing (dataset, path, size) -> the parquet files of each dataset's first chunk folder below data/ and those
+    in data/ itself, not larger than max_mb, in order of their paths, up to max_files; without a number, up to the cap
+    (0: no cap)."""
+    chunk = F.nullif(F.regexp_extract("path", r"^(data/[^/]+)/", 1), F.lit(""))
     files = listing.where(F.col("path").startswith("data/") & F.col("path").endswith(".parquet")).withColumn("chunk", chunk)
     first = F.min("chunk").over(Window.partitionBy("dataset"))
-    files = files.withColumn("first", first).where("chunk = first")
+    files = files.withColumn("first", first).where("chunk is null or chunk = first")
     if max_mb is not None:
         files = files.where(F.coalesce(F.col("size"), F.lit(0)) <= max_mb * 1e6)
     most = max_files if max_files is not None else cap or None

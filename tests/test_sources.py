@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.report import report
-from plumbline.plans import survey
+from plumbline.plans import cli, survey
 from plumbline.sources import episodes, hub, layout, ledger, synth, thresholds
 
-#: The published six-row demo: frames, frac_bad_dt, stuck, identity, lag, r_lag0, r_best, dup, flags.
+#: Fixed values, the published six-row demo: frames, frac_bad_dt, stuck, identity, lag, r_lag0, r_best, dup, flags.
 DEMO = {
     "clean": (1800, 0.0, 0.0, 0.0, 2.0, 0.9672949283038665, 0.9913175890895616, 0.0, ""),
     "identity": (1800, 0.0, 0.0, 1.0, 0.0, 0.9999999830752864, 0.9999999830752864, 0.0, "action_equals_state"),
@@ -145,6 +145,8 @@ class FakeHub:
         self.calls.append(request.full_url)
         a = self.answers[request.full_url]
         a = a.pop(0) if isinstance(a, list) else a
+        if isinstance(a, Exception):
+            raise a
         if isinstance(a, int):
             raise urllib.error.HTTPError(request.full_url, a, "no", {"Retry-After": "7"} if a == 429 else {}, io.BytesIO())
         return a
@@ -177,6 +179,64 @@ def test_pages_follow_the_cursor():
     assert hub.next_link('<https://evil.test/x>; rel="next"', first) is None and hub.next_link('<x>; rel="prev", <y>; rel="next"', first) == "https://hub.test/api/y"
 
 
+def test_hub_waits_out_a_timeout_and_lists():
+    top = "https://hub.test/api/datasets?filter=t&sort=downloads&direction=-1&limit=2"
+    tree = "https://hub.test/api/datasets/{}/tree/main/{}"
+    data = [{"path": "data/b", "type": "directory"}, {"path": "data/a", "type": "directory"}, {"path": "data/z.parquet", "type": "file", "size": 5}]
+    more = tree.format("r", "data/a") + "?cursor=1"
+    f = FakeHub({
+        top: [TimeoutError("slow"), (b'[{"id": "x"}, {"id": "y"}]', {})], tree.format("r", "data"): (json.dumps(data).encode(), {}),
+        tree.format("r", "data/a"): (b'[{"path": "data/a/2.parquet", "type": "file", "size": 3}]', {"Link": f'<{more}>; rel="next"'}),
+        more: (b'[{"path": "data/a/1.parquet", "type": "file"}, {"path": "data/a/x.txt", "type": "file"}]', {}), tree.format("gone", "data"): 404,
+        "https://hub.test/datasets/r/resolve/main/data/a/1.parquet": (b"", {}), "https://hub.test/datasets/r/resolve/main/no": 404,
+    })
+    c = f.client()
+    assert c.list_top("t", 2) == ["x", "y"] and f.slept and c.list_parquet("r") == [("data/a/1.parquet", 0), ("data/a/2.parquet", 3), ("data/z.parquet", 5)]
+    with pytest.raises(hub.TreeListingError):
+        c.list_parquet("gone")
+    assert c.exists("r", "data/a/1.parquet") and not c.exists("r", "no")
+
+
+def _hub_of(folder, repo):
+    """A hub that serves a dataset written below folder."""
+    site, answers = "https://hub.test", {}
+    for f in (Path(folder) / repo).rglob("*.*"):
+        answers[f"{site}/datasets/{repo}/resolve/main/{f.relative_to(Path(folder) / repo)}"] = (f.read_bytes(), {"X-Repo-Commit": "sha9"})
+    files = sorted((Path(folder) / repo / "data").rglob("*.parquet"))
+    answers[f"{site}/api/datasets/{repo}/tree/main/data"] = (b'[{"path": "data/chunk-000", "type": "directory"}]', {})
+    answers[f"{site}/api/datasets/{repo}/tree/main/data/chunk-000"] = (json.dumps([{"path": f"data/chunk-000/{f.name}", "type": "file", "size": f.stat().st_size} for f in files]).encode(), {})
+    answers[f"{site}/api/datasets?filter=t&sort=downloads&direction=-1&limit=1"] = (json.dumps([{"id": repo}]).encode(), {})
+    return FakeHub(answers)
+
+
+def test_remote_source_fetches_reads_and_forgets(spark, tmp_path, capsys):
+    synth.write_per_episode(synth.episodes(n_eps=3, defect="identity"), tmp_path / "site", "acme/arm")
+    f, copies = _hub_of(tmp_path / "site", "acme/arm"), tmp_path / "copies"
+    source = episodes.downloading(f.client(), str(copies))
+    info = source.info("acme/arm")
+    assert source.revision("acme/arm") == "sha9" and len(source.paths("acme/arm", info, None)) == 3 and len(source.paths("acme/arm", info, 2)) == 2
+    got = survey.deep_records(spark, source, [("acme/arm", "sha9", "RemoteSource", "", None)], {"acme/arm": (info, "sha9", "")}, None).first()
+    assert got["episodes_sampled"] == 3 and got["error"] == "" and got["identity_frac"] == 1.0 and not list(copies.rglob("*.parquet"))
+    assert cli.main(["audit", "https://hub.test/", "--source", "download", "--top", "1", "--tag", "t", "--files", "all", "--copies", str(copies)], spark, f.client()) == 0
+    assert "acme/arm" in capsys.readouterr().out
+    assert cli.main(["audit", "https://hub.test", "acme/arm", "--source", "stream", "--open", "file://" + str(tmp_path / "site/{repo}/{path}"), "--max-mb", "0.000001"], spark, f.client()) == 0
+    assert "acme/arm" in capsys.readouterr().out
+
+
+def test_packed_sample_without_a_listing_is_noted(spark, tmp_path):
+    synth.write_packed(synth.episodes(n_eps=2), tmp_path, "acme/packed")
+
+    class Plain:
+        def __init__(self, f):
+            self.get_info, self.get_revision = f.get_info, f.get_revision
+
+    client = _hub_of(tmp_path, "acme/packed").client()
+    source = episodes.RemoteSource(Plain(client), lambda repo, path: f"file://{tmp_path}/{repo}/{path}")
+    info = source.info("acme/packed")
+    notes = [survey.deep_records(spark, source, [("acme/packed", "", "RemoteSource", "", None)], {"acme/packed": (info, "", "")}, n).first()["note"] for n in (None, 1)]
+    assert notes == [survey.PARTIAL, ""]
+
+
 def test_lock_is_exclusive(tmp_path):
     with survey.lock(tmp_path):
         with pytest.raises(survey.SurveyLocked, match="pid"), survey.lock(tmp_path):

@@ -53,7 +53,7 @@ def test_cli_demo_and_audit(spark, tmp_path, capsys):
 
     assert cli.main(["demo", "--out", str(tmp_path / "d.csv")], spark) == 0
     assert len((tmp_path / "d.csv").read_text().splitlines()) == 8
-    synth.write_packed(synth.episodes(n_eps=2, T=60, defect="identity"), tmp_path, "org/x")
+    synth.write(synth.episodes(n_eps=2, T=60, defect="identity"), tmp_path, "org/x", "packed")
     assert cli.main(["audit", str(tmp_path), "org/x", "org/none", "--files", "all"], spark) == 0
     out = capsys.readouterr().out
     assert "action_equals_state" in out and "org/none" in out

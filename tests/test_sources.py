@@ -75,8 +75,8 @@ def test_packed_stops_at_the_first_gap(spark):
 
 def test_files_give_what_memory_gives(spark, tmp_path):
     t = synth.episodes(n_eps=3, T=60, seed=4)
-    synth.write_per_episode(t, tmp_path, "org/v2")
-    synth.write_packed(t, tmp_path, "org/v3")
+    synth.write(t, tmp_path, "org/v2", "per_episode")
+    synth.write(t, tmp_path, "org/v3", "packed")
     src = episodes.LocalSource(spark, str(tmp_path))
     got = []
     for repo in ("org/v2", "org/v3"):
@@ -210,7 +210,7 @@ def _hub_of(folder, repo):
 
 
 def test_remote_source_fetches_reads_and_forgets(spark, tmp_path, capsys):
-    synth.write_per_episode(synth.episodes(n_eps=3, defect="identity"), tmp_path / "site", "acme/arm")
+    synth.write(synth.episodes(n_eps=3, defect="identity"), tmp_path / "site", "acme/arm", "per_episode")
     f, copies = _hub_of(tmp_path / "site", "acme/arm"), tmp_path / "copies"
     source = episodes.downloading(f.client(), str(copies))
     info = source.info("acme/arm")
@@ -224,7 +224,7 @@ def test_remote_source_fetches_reads_and_forgets(spark, tmp_path, capsys):
 
 
 def test_packed_sample_without_a_listing_is_noted(spark, tmp_path):
-    synth.write_packed(synth.episodes(n_eps=2), tmp_path, "acme/packed")
+    synth.write(synth.episodes(n_eps=2), tmp_path, "acme/packed", "packed")
 
     class Plain:
         def __init__(self, f):
@@ -252,8 +252,8 @@ def test_lock_is_exclusive(tmp_path):
 def test_survey_end_to_end(spark, tmp_path):
     root, out = tmp_path / "data", tmp_path / "out"
     for i, d in enumerate(("", "identity")):
-        synth.write_packed(synth.episodes(n_eps=2, T=60, defect=d, seed=i), root, f"org/{i}")
-    synth.write_packed(synth.episodes(n_eps=1, T=40), root, "org/broken")
+        synth.write(synth.episodes(n_eps=2, T=60, defect=d, seed=i), root, f"org/{i}", "packed")
+    synth.write(synth.episodes(n_eps=1, T=40), root, "org/broken", "packed")
     (root / "org/broken/data/chunk-000/file-000.parquet").write_bytes(b"junk")
     src = episodes.LocalSource(spark, str(root))
     people = ["org/0", "org/1", "org/broken", "org/none"]

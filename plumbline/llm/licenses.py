@@ -75,9 +75,19 @@ def terms(text: Column) -> Column:
     return F.concat(w, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
+def hashed_terms(text: Column) -> Column:
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
+def _key(text: str) -> Column:
+    """128 bits that stand for a text where it would be shuffled with each of its terms."""
+    return F.unhex(F.md5(text))
+
+
 def _weights(texts: DataFrame, frequency: DataFrame, n: int) -> DataFrame:
-    """texts (key, text) -> (key, term, x): TF-IDF of length 1. Terms without a frequency count as seen in no passage."""
-    counted = texts.select("key", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    """texts (key, text) -> (key, term, x): TF-IDF of length 1. Terms, as 64-bit hashes, without a frequency count as seen
+    in no passage."""
+    counted = texts.select("key", F.explode(hashed_terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     idf = F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     w = counted.join(frequency, "term", "left").withColumn("x", (1 + F.log("tf")) * idf)
     norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -90,8 +100,8 @@ def within_reach(longer: DataFrame, known: DataFrame, frequency: DataFrame, n: i
     A cosine is at most the share of the length that lies in the terms of all known texts, and a term weighs no less
     than one that is in every passage. So nothing but the rows that stay need the frequencies of all their terms.
     """
-    met = known.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct().join(frequency, "term", "left").toArrow()
-    idf = {t: math.log((n + 1) / ((df or 0) + 1)) + 1 for t, df in zip(met["term"].to_pylist(), met["df"].to_pylist())}
+    met = known.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("name")).distinct().withColumn("term", F.xxhash64("name")).join(frequency, "term", "left").toArrow()
+    idf = {t: math.log((n + 1) / ((df or 0) + 1)) + 1 for t, df in zip(met["name"].to_pylist(), met["df"].to_pylist())}
     held = longer.sparkSession.sparkContext.broadcast(idf)
     word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -110,7 +120,7 @@ def within_reach(longer: DataFrame, known: DataFrame, frequency: DataFrame, n: i
                 stay.append(inside >= (least * least - 1e-6) * (inside + outside) and inside > 0)
             yield batch.filter(pa.array(stay, pa.bool_())).select([0, 1, 2])
 
-    return longer.select("key", "text", "whole", F.lower("text").alias("lower")).mapInArrow(run, "key string, text string, whole boolean")
+    return longer.select("key", "text", "whole", F.lower("text").alias("lower")).mapInArrow(run, "key binary, text string, whole boolean")
 
 
 def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, list[str]], least: float, longer: DataFrame | None = None, headers: dict[str, list[str]] | None = None, full: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -122,8 +132,8 @@ def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, l
     spark = passages.sparkSession
     rows = [(f"{name}\t{i}", t) for name, texts in sorted(templates.items()) for i, t in enumerate(texts)]
     known = spark.createDataFrame(rows, "key string, text string")
-    keyed = scratch.keep(passages.select(F.col("text").alias("key"), "text"), "passages")
-    frequency = keyed.unionAll(known).select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    keyed = scratch.keep(passages.select(_key("text").alias("key"), "text"), "passages")
+    frequency = keyed.select("text").unionAll(known.select("text")).select(F.explode(F.array_distinct(hashed_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     frequency = scratch.keep(frequency, "terms")
     n = keyed.count() + len(rows)
 
@@ -133,7 +143,7 @@ def match_passages(passages: DataFrame, scratch: Scratch, templates: dict[str, l
         best = near.groupBy("key").agg(F.min(F.struct(-F.col("score"), F.substring_index("template", "\t", 1).alias("license"))).alias("b"))
         return best.select("key", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
 
-    short = nearest(keyed, known).withColumnRenamed("key", "text")
+    short = nearest(keyed, known).join(keyed, "key").select("text", "license", "score")
     if longer is None:
         return short, None
     whole = [(f"{name}\tfull", t) for name, t in sorted((full or {}).items())]
@@ -163,7 +173,7 @@ def scan_licenses(docs: DataFrame, scratch: Scratch, path: Column, templates: di
     passages = found.select(F.explode("lines").alias("text")).distinct()
     cued = base.where(F.col("text").rlike(CUES))
     pieces = cued.select("doc_id", "path", F.explode(F.concat(F.transform(blocks(F.col("text")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("whole"))), F.array(F.struct("text", F.lit(True).alias("whole"))))).alias("p"))
-    pieces = pieces.select("doc_id", "path", "p.text", "p.whole", F.md5("p.text").alias("key"))
+    pieces = pieces.select("doc_id", "path", "p.text", "p.whole", _key("p.text").alias("key"))
     longer = pieces.select("key", "text", "whole")
     matched, wider = match_passages(passages, scratch, templates or TEMPLATES, least, longer, None if templates else HEADERS, None if templates else full_texts())
     matched, wider = scratch.keep(matched, "matched"), scratch.keep(wider, "matched-blocks")

@@ -249,6 +249,9 @@ def test_licenses_own_nearest_ancestor_and_none(spark, scratch):
     assert got[3]["license"] == "Apache-2.0" and got[4]["origin"] == "own"
     assert got[5]["license"] is None and got[7]["license"] is None and got[8]["license"] is None
     assert len(got) == len(rows)
+    assert licenses.scan_licenses(docs.limit(0), scratch, F.col("path")).count() == 0
+    twice = licenses.scan_licenses(docs.unionAll(docs).withColumns({"key": F.lit(1), "term": F.lit(2), "whole": F.lit(3)}), scratch, F.col("path")).collect()
+    assert sorted({tuple(r) for r in twice}, key=str) == sorted({tuple(r) for r in got.values()}, key=str)
 
 
 def test_licenses_wrapped_headers_and_whole_files(spark, scratch):

@@ -171,7 +171,7 @@ class Encoder:
     are forgotten.
     """
 
-    def __init__(self, tokenizer, end_id: int, most: int = 250_000):
+    def __init__(self, tokenizer, end_id: int, most: int = 400_000):
         self.tokenizer = tokenizer
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.most = end_id, most

@@ -17,9 +17,11 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ BLOCK = 4096
 #: ASCII signs but the apostrophe, which may belong to a contraction.
 SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def width(vocabulary: int) -> int:
@@ -151,7 +154,7 @@ def vocabulary_size(path: str, end_id: int) -> int:
 
 
 class PlainEncoder:
-    """Any tokenizer, text by text."""
+    """Any tokenizer, text by text. It remembers nothing."""
 
     def __init__(self, tokenizer, end_id: int):
         self.tokenizer, self.end_id = tokenizer, end_id
@@ -163,6 +166,21 @@ class PlainEncoder:
         return np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
 
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Chunks between ASCII white space, none across texts, and how many stand before each text and in all."""
+    black = ~SPACE[data]
+    first, last = black.copy(), black.copy()
+    first[1:] &= ~black[:-1]
+    last[:-1] &= ~black[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    first[inner], last[inner - 1] = black[inner], black[inner - 1]
+    starts = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)])
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[black])])
+    return chunks, np.searchsorted(starts, offsets)
+
+
 class Encoder:
     """The tokenizer with a memory of what chunks between ASCII white space become.
 
@@ -171,14 +189,14 @@ class Encoder:
     are forgotten.
     """
 
-    def __init__(self, tokenizer, end_id: int, most: int = 250_000):
+    def __init__(self, tokenizer, end_id: int, most: int):
         self.tokenizer = tokenizer
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.most = end_id, most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.names = pa.array([], pa.large_binary())
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = self.bytes = 0
         self.start, self.size, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -189,27 +207,32 @@ class Encoder:
         while (self.hits >= least).sum() > self.most // 2:
             least *= 2
         keep = np.flatnonzero(self.hits >= least)
-        names = list(self.place)  # in order of their places
-        names = [names[i] for i in keep.tolist()]
-        if sum(map(len, names)) > 32 * self.most:
+        names = self.names.take(pa.array(keep))
+        if (pc.sum(pc.binary_length(names)).as_py() or 0) > 32 * self.most:
             return self.clear()
         (ids, _), sizes, hits = self._gather(keep), self.size[keep], self.hits[keep] // 2
         self.clear()
         self._store(names, ids, sizes)
         self.hits[:] = hits
 
-    def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, chunks: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Their places."""
         need = len(ids)
         if self.used + need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
         self.flat[self.used : self.used + need] = ids
         first = len(self.size)
-        self.place.update(zip(chunks, range(first, first + len(chunks))))
+        self.names = pa.concat_arrays([self.names, chunks])
         self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.hits = np.concatenate([self.hits, np.zeros(len(sizes), np.int64)])
         self.used += need
-        self.bytes += sum(map(len, chunks))
+        self.bytes += pc.sum(pc.binary_length(chunks)).as_py() or 0
+        return range(first, first + len(chunks))
+
+    def _find(self, chunks: pa.Array) -> np.ndarray:
+        """Places of chunks, -1 where there is none."""
+        return pc.index_in(chunks, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of stored chunks one after another, and the offsets of each."""
@@ -217,55 +240,68 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(n)])
         return self.flat[np.repeat(self.start[at] - total[:-1], n) + np.arange(total[-1])], total
 
-    def _learn(self, chunks: list[bytes], special: bool) -> None:
-        """Small ASCII letters alone are one unit of the model and go to it straight. A chunk whose last letter or
-        digit is ASCII and followed by ASCII signs only is its two sides, since the tokenizer always parts them there.
-        All else goes through the whole tokenizer, many chunks in one call. Chunks with the name of
-        a special token go there one by one."""
-        named = [c for c in chunks if any(name in c for name in self.special)] if special else []
+    def _learn(self, chunks: list[bytes], special: bool) -> np.ndarray:
+        """Stores chunks that have no place, and gives their places. Small ASCII letters alone are one unit of the model and
+        go to it straight. A chunk whose last letter or digit is ASCII and followed by ASCII signs only is its two sides,
+        since the tokenizer always parts them there. All else goes through the whole tokenizer, many chunks in one call.
+        Chunks with the name of a special token go there one by one."""
+        place: dict[bytes, int] = {}
+
+        def store(some: list[bytes], ids, sizes) -> None:
+            place.update(zip(some, self._store(pa.array(some, pa.large_binary()), np.array(ids, np.uint32), np.array(sizes, np.int64))))
+
+        named = {c for c in chunks if any(name in c for name in self.special)} if special else set()
         if named:
             got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in named], add_special_tokens=False)]
-            self._store(named, np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-            chunks = [c for c in chunks if c not in self.place]
+            store(list(named), list(chain.from_iterable(got)), list(map(len, got)))
         parted, simple = [], set()
         for c in chunks:
+            if c in named:
+                continue
             core = c.rstrip(SIGNS)
             if core and len(core) < len(c) and core[-1] in LETTERS:
-                parted.append((c, core, c[len(core) :]))
+                tail = c[len(core) :]
+                parted.append((c, core, tail))
                 simple.add(core)
-                simple.add(c[len(core) :])
+                simple.add(tail)
             else:
                 simple.add(c)
-        simple = [c for c in simple if c not in self.place]
-        letters = [c for c in simple if c.isalpha() and c.islower()]
+        simple = list(simple)
+        known = self._find(pa.array(simple, pa.large_binary()))
+        place.update((c, at) for c, at in zip(simple, known.tolist()) if at >= 0)
+        new = [simple[i] for i in np.flatnonzero(known < 0).tolist()]
+        letters, others = [], []
+        for c in new:
+            (letters if c.isalpha() and c.islower() else others).append(c)
         if letters:
-            got = [[t.id for t in self.tokenizer.model.tokenize(c.decode())] for c in letters]
-            self._store(letters, np.array([x for ids in got for x in ids], np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-        others = [c for c in simple if c not in self.place]
+            tokenize = self.tokenizer.model.tokenize
+            got = [[t.id for t in tokenize(c.decode())] for c in letters]
+            store(letters, list(chain.from_iterable(got)), list(map(len, got)))
         for i in range(0, len(others), 20_000):
             some = others[i : i + 20_000]
             e = self.tokenizer.encode([c.decode("utf-8", "replace") for c in some], is_pretokenized=True, add_special_tokens=False)
-            self._store(some, np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)).astype(np.int64))
+            store(some, e.ids, np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
         if parted:
-            at = np.array([self.place[x] for _, core, tail in parted for x in (core, tail)])
+            at = np.array([place[x] for _, core, tail in parted for x in (core, tail)])
             ids, _ = self._gather(at)
-            self._store([c for c, _, _ in parted], ids, self.size[at].reshape(-1, 2).sum(1))
+            store([c for c, _, _ in parted], ids, self.size[at].reshape(-1, 2).sum(1))
+        return np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and their numbers by text."""
-        if len(self.place) > self.most or self.bytes > 64 * self.most:
+        if len(self.names) > self.most or self.bytes > 64 * self.most:
             self.forget()
-        raw, low = data[int(offsets[0]) : int(offsets[-1])].tobytes(), int(offsets[0])
+        raw = data[int(offsets[0]) : int(offsets[-1])].tobytes()
         special = any(name in raw for name in self.special)
         if not special:  # the tokenizer lower-cases all but these
             raw = raw.lower()
-        chunks: list[bytes] = []
-        upto = np.zeros(len(offsets), np.int64)
-        for i in range(len(offsets) - 1):
-            chunks += raw[int(offsets[i]) - low : int(offsets[i + 1]) - low].split()
-            upto[i + 1] = len(chunks)
-        self._learn([c for c in set(chunks) if c not in self.place], special)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        chunks, upto = split(np.frombuffer(raw, np.uint8), offsets - offsets[0])
+        chunks = chunks.dictionary_encode()
+        at = self._find(chunks.dictionary)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn(chunks.dictionary.take(pa.array(new)).to_pylist(), special)
+        at = at[chunks.indices.to_numpy()]
         self.hits += np.bincount(at, minlength=len(self.hits))
         ids, total = self._gather(at)
         ends = total[upto[1:]]
@@ -275,17 +311,19 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, end_id: int) -> Encoder | PlainEncoder:
+def encoder(path: str, end_id: int, remember: int) -> Encoder | PlainEncoder:
     if (path, end_id) not in _encoders:
         tokenizer, chunked = load(path)
-        _encoders[path, end_id] = (Encoder if chunked else PlainEncoder)(tokenizer, end_id)
+        _encoders[path, end_id] = Encoder(tokenizer, end_id, remember) if chunked else PlainEncoder(tokenizer, end_id)
+    if isinstance(_encoders[path, end_id], Encoder):
+        _encoders[path, end_id].most = remember
     return _encoders[path, end_id]
 
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id: int = 2, shard_bytes: int = 12 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id: int = 2, shard_bytes: int = 12 << 20, remember: int = 400_000) -> DataFrame:
     """Encodes docs (doc_id, text) into files below the scratch folder and returns their manifest, a written table.
 
     Documents go to files by range of doc_id (nulls first; equal ids by text), so files in order of `shard` hold all
@@ -293,7 +331,8 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id
     in the manifest, so lost executors leave no wrong file in use. Null and empty texts are the end id alone; repeated
     rows are written each; rows without doc_id come first. An empty table has no files. Other columns are ignored. Texts
     are read whole; a shard is about shard_bytes of text, and one text at least. Ids take the bits of the tokenizer's
-    own largest id.
+    own largest id. A worker remembers the ids of `remember` chunks at most, which trades its memory for time and changes
+    no result.
     """
     from pyarrow import fs
 
@@ -305,7 +344,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary_path: str, end_id
     where.create_dir(inside, recursive=True)
 
     def run(batches):
-        enc, out = encoder(vocabulary_path, end_id), TokenWriter(bits)
+        enc, out = encoder(vocabulary_path, end_id, remember), TokenWriter(bits)
         n_docs = 0
         for batch in batches:
             data, offsets = strings(batch.column(1))

@@ -260,9 +260,15 @@ def test_licenses_wrapped_headers_and_whole_files(spark, scratch):
     apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"
     notice = "# Licensed under the Apache License, Version 2.0 (the\n# \"License\"); you may not use this file except in compliance\n# with the License.  You may obtain a copy of the License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os\n"
     rows = [(1, "m/a.c", mpl, "MPL-2.0"), (2, "g/COPYING", gpl, "GPL-3.0"), (3, "p/LICENSE", apache, "Apache-2.0"), (4, "p/q.py", notice, "Apache-2.0"), (5, "x/y.c", "int x;\n\nint y;", None)]
+    lgpl = "/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version. */\nint f();\n"
+    agpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as\n# published by the Free Software Foundation, either version 3 of the\n# License, or (at your option) any later version.\nimport os\n"
+    or_later = "// This program is free software; you can redistribute it and/or modify it\n// under the terms of the GNU General Public License as published by the Free\n// Software Foundation; either version 2 of the License, or (at your option)\n// any later version.\nint g();\n"
+    isc = "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided that the above\n// copyright notice and this permission notice appear in all copies.\nint h();\n"
+    heads = [(6, "l/a.c", lgpl, "LGPL-2.1"), (7, "a/a.py", agpl, "AGPL-3.0"), (8, "o/a.c", or_later, "GPL-2.0"), (9, "i/a.c", isc, "ISC")]
     rows += [(10 + i, f"full{i}/text", t, name) for i, (name, t) in enumerate(licenses.full_texts().items())]
-    docs = spark.createDataFrame([(i, t, p) for i, p, t, _ in rows] + [(100 + i, "code", f"full{i}/code.c") for i in range(len(rows) - 5)], "doc_id long, text string, path string")
+    docs = spark.createDataFrame([(i, t, p) for i, p, t, _ in rows + heads] + [(100 + i, "code", f"full{i}/code.c") for i in range(len(rows) - 5)], "doc_id long, text string, path string")
     got = by_id(licenses.scan_licenses(docs, scratch, F.col("path")))
+    assert {i: got[i]["license"] for i, *_ in heads} == {i: name for i, _, _, name in heads}
     assert {i: got[i]["license"] for i, *_ in rows} == {i: name for i, _, _, name in rows}
     # a whole licence is a licence file whatever its name
     assert {i: (got[i + 90]["license"], got[i + 90]["origin"]) for i, *_ in rows[5:]} == {i: (name, "inherited") for i, _, _, name in rows[5:]}

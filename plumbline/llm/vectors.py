@@ -2,10 +2,9 @@
 
 A neighbour graph is started from sorted random hyperplane codes and refined: the neighbours of a vector are compared
 with each other, and each keeps the nearest it has met. Equal vectors are one class, a vector with a weight. Edges at
-the threshold are links. Vectors whose lists are full of links are saturated: their lists are enlarged to their whole
-component, compared in blocks, and saturated components that could touch are compared with each other. Recall is
-audited for each of a set of query vectors by brute force; links missed there join the graph, too many of them send it
-through more rounds with longer lists, and where that does not help all vectors are compared.
+the threshold are links, and what they reach is a component. An exact check of every component follows, at any size:
+components lie in balls, all balls are compared, and so are all vectors of those balls that could touch another. Links
+inside components are counted in blocks.
 """
 
 from __future__ import annotations
@@ -194,107 +193,141 @@ def complete(vectors: DataFrame, clusters: DataFrame, threshold: float, scratch:
     return counted.groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
-def audit(vectors: DataFrame, every: int, fewest: int, threshold: float, scratch: Scratch, queries_at_once: int = 2_000) -> tuple[DataFrame, bool]:
-    """Links of the query vectors against all rows by brute force: (a, n) of those that have any, and whether all vectors
-    were queries. vectors (id, space, v, weight). Queries are the ids divisible by `every` and about `fewest` others by
-    hash, which are all where there are no more. They are held in blocks of bounded number; each block meets all rows of
-    its space in a scan."""
-    step = max(1, vectors.count() // fewest)
-    chosen = vectors.where((F.col("id") % every == 0) | (F.pmod(F.xxhash64("id"), F.lit(step)) == 0))
-    n = chosen.count()
-    blocks = max(1, -(-n // queries_at_once))
-    chosen = scratch.keep(chosen.withColumn("q", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks))), "queries")
-    out = None
-    for q in range(blocks):
-        rows = chosen.where(F.col("q") == q).select("id", "space", "v").toArrow()
-        held = vectors.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches, held=held):
-            t = held.value
-            ids, spaces = t["id"].to_numpy(), t["space"].to_numpy()
-            if not len(ids):
-                return
-            qs = t["v"].combine_chunks()
-            total = np.zeros(len(ids), np.int64)
-            index = {s: np.flatnonzero(spaces == s) for s in np.unique(spaces).tolist()}
-            matrices = {s: _matrix(qs.take(pa.array(i))) for s, i in index.items()}
-            for batch in batches:
-                own, space, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
-                for s, i in index.items():
-                    rows = np.flatnonzero(space == s)
-                    if len(rows):
-                        near = matrices[s] @ _matrix(batch.column(2).take(pa.array(rows))).T >= threshold
-                        near &= ids[i][:, None] != own[rows][None, :]
-                        total[i] += near @ weight[rows]
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["a", "n"])
-
-        part = vectors.select("id", "space", "v", "weight").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-        out = part if out is None else out.unionAll(part)
-    return out, step == 1
-
-
-def joining(queries: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch, each: bool = False, at_once: int = 16_000, block: int = 2_000) -> DataFrame:
-    """Both (id, space, v, component, reach) -> written (a, b, sim): links between different components, by comparing
-    every query with every row of its space.
-
-    Of the links between two components in a block one is given; with each=True one for each row instead. reach is an
-    angle around the vector from which it is near, too. Queries are broadcast in blocks and nothing is shuffled.
+def _pairwise(rows: DataFrame, threshold: float, scratch: Scratch, meet, schema: str, at_once: int, block: int) -> DataFrame:
+    """Every two rows (id, space, v, component, reach) of one space meet in a tile; written rows of what meet gives.
+
+    A part of about at_once rows is broadcast and meets itself and the parts after it in a scan, so nothing is shuffled.
+    meet(held, tiles) begins a task's work on a part, a table, and returns what is called for each of its batches.
+    tiles(batch) gives for each tile the places of its rows in the part and in the batch, both matrices, and which pairs
+    may be near: a single-precision bound that passes every pair whose angle is at most that of the threshold and both
+    reaches.
     """
     columns = ["id", "space", "v", "component", "reach"]
-    n = queries.count()
-    blocks = max(1, -(-n // at_once))
-    dealt = scratch.keep(queries.select(*columns, F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(blocks)).alias("q")), "asking")
-    rows = rows.select(*columns)
-    angle = float(np.arccos(min(1.0, threshold)))
-    parts = []
-    for q in range(blocks):
-        held = rows.sparkSession.sparkContext.broadcast(dealt.where(F.col("q") == q).select(*columns).toArrow())
-
-        def run(batches, held=held):
+    parts = max(1, -(-rows.count() // at_once))
+    dealt = scratch.keep(rows.select(*columns, F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(parts)).alias("q")), "asking")
+    half = float(np.arccos(np.clip(threshold, -1.0, 1.0))) / 2
+
+    def widened(m: np.ndarray, reach: np.ndarray, sign: float) -> np.ndarray:
+        # x.y - cos(s + t) is a product of two vectors, as cos(s + t) = cos s cos t - sin s sin t; from a right angle on
+        # nothing is ruled out
+        s, out = reach + half, np.empty((len(m), m.shape[1] + 2), np.float32)
+        wide = s >= np.pi / 2
+        out[:, :-2], out[:, -2], out[:, -1] = m, sign * np.cos(s), np.sin(s)
+        out[wide] = 0.0
+        out[wide, -1] = 1.0
+        return out
+
+    def run_on(held):
+        def run(batches):
             t = held.value
-            ids, spaces, groups, reach = (t[c].to_numpy() for c in ("id", "space", "component", "reach"))
-            vs = t["v"].combine_chunks() if t.num_rows else None
-            index = [at[k : k + block] for s in np.unique(spaces).tolist() for at in [np.flatnonzero(spaces == s)] for k in range(0, len(at), block)]
-            index = [(spaces[i[0]], i, _matrix(vs.take(pa.array(i)))) for i in index]
-            for batch in batches:
-                own, space, group, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4))
-                for s, i, m in index:
-                    at = np.flatnonzero(space == s)
-                    if not len(at):
-                        continue
-                    sim = m @ _matrix(batch.column(2).take(pa.array(at))).T
-                    least = threshold
-                    if reach[i].any() or far[at].any():
-                        least = np.cos(np.minimum(angle + reach[i][:, None] + far[at][None, :], np.pi)) - 1e-9
-                    x, y = np.nonzero((sim >= least) & (groups[i][:, None] != group[at][None, :]))
-                    if not len(x):
+            if not t.num_rows:
+                return
+            spaces, reach, vs = t["space"].to_numpy(), t["reach"].to_numpy(), t["v"].combine_chunks()
+            index: dict[int, list] = {}
+            for s in np.unique(spaces).tolist():
+                at = np.flatnonzero(spaces == s)
+                for i in (at[k : k + block] for k in range(0, len(at), block)):
+                    m = _matrix(vs.take(pa.array(i)))
+                    index.setdefault(s, []).append((i, m, widened(m, reach[i], -1.0)))
+
+            def tiles(batch):
+                space, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 4))
+                for s in np.unique(space).tolist():
+                    if s not in index:
                         continue
-                    pairs = own[at][y][:, None] if each else np.stack([groups[i][x], group[at][y]], 1)
-                    _, one = np.unique(pairs, axis=0, return_index=True)
-                    x, y = x[one], y[one]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i][x]), pa.array(own[at][y]), pa.array(sim[x, y])], names=["a", "b", "sim"])
+                    at = np.flatnonzero(space == s)
+                    w = _matrix(batch.column(2).take(pa.array(at)))
+                    # single precision errs by less than this
+                    w32, slack = widened(w, far[at], 1.0).T, -np.float32((w.shape[1] + 8) * 2.0**-22)
+                    for i, m, m32 in index[s]:
+                        may = m32 @ w32 >= slack
+                        if may.any():
+                            yield i, at, m, w, may
+
+            batched, end = meet(t, tiles)
+            for batch in batches:
+                yield from batched(batch)
+            yield from end()
 
-        parts.append(scratch.keep(rows.mapInArrow(run, EDGES), "joining"))
+        return run
+
+    out = []
+    for q in range(parts):
+        held = rows.sparkSession.sparkContext.broadcast(dealt.where(F.col("q") == q).select(*columns).toArrow())
+        out.append(scratch.keep(dealt.where(F.col("q") >= q).select(*columns).mapInArrow(run_on(held), schema), "met"))
         held.destroy()
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, out)
+
 
+def joining(rows: DataFrame, threshold: float, scratch: Scratch, at_once: int = 16_000, block: int = 2_000) -> DataFrame:
+    """rows (id, space, v, component, reach) -> written (a, b, sim): links between different components, by comparing all
+    rows of a space. Of the links between two components in a tile one is given."""
 
-def across_saturated(vectors: DataFrame, graph: DataFrame, clusters: DataFrame, k: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """Links between components that full lists may have lost. A list that is not full of links keeps every link it met,
-    so a lost link has two saturated ends. Components are balls around their smallest saturated vector; the saturated
-    vectors of those balls that others can touch are compared."""
-    full = graph.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("node"))
-    members = full.join(clusters, "node").join(vectors.select(F.col("id").alias("node"), "space", "v"), "node")
-    members = scratch.keep(members.select(F.col("node").alias("id"), "space", "v", "component", F.lit(0.0).alias("reach")), "saturated")
-    centres = scratch.keep(members.groupBy("space", "component").agg(F.min_by("v", "id").alias("c")), "centres")
+    def meet(held, tiles):
+        ids, groups = held["id"].to_numpy(), held["component"].to_numpy()
+
+        def batched(batch):
+            own, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3))
+            for i, at, m, w, may in tiles(batch):
+                may &= groups[i][:, None] != group[at][None, :]
+                x, y = np.nonzero(may)
+                if not len(x):
+                    continue
+                sim = (m @ w.T)[x, y] if len(x) * 64 > may.size else np.einsum("ij,ij->i", m[x], w[y])
+                x, y, sim = (c[sim >= threshold] for c in (x, y, sim))
+                if not len(x):
+                    continue
+                _, one = np.unique(np.stack([groups[i][x], group[at][y]], 1), axis=0, return_index=True)
+                x, y, sim = x[one], y[one], sim[one]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i][x]), pa.array(own[at][y]), pa.array(sim)], names=["a", "b", "sim"])
+
+        return batched, lambda: ()
+
+    return _pairwise(rows, threshold, scratch, meet, EDGES, at_once, block)
+
+
+def touched(balls: DataFrame, threshold: float, scratch: Scratch, at_once: int = 16_000, block: int = 2_000) -> DataFrame:
+    """balls (id, space, v, component, reach) -> component: those that another one is near enough to for a link."""
+
+    def meet(held, tiles):
+        groups = held["component"].to_numpy()
+        found = np.zeros(len(groups), bool)
+
+        def batched(batch):
+            group = batch.column(3).to_numpy(zero_copy_only=False)
+            some = np.zeros(len(group), bool)
+            for i, at, _, _, may in tiles(batch):
+                may &= groups[i][:, None] != group[at][None, :]
+                found[i] |= may.any(axis=1)
+                some[at] |= may.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(group[some])], names=["component"])
+
+        def end():
+            yield pa.RecordBatch.from_arrays([pa.array(groups[found])], names=["component"])
+
+        return batched, end
+
+    return _pairwise(balls, threshold, scratch, meet, "component long", at_once, block).distinct()
+
+
+def across(vectors: DataFrame, clusters: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """vectors (id, space, v), clusters (node, component) -> links (a, b, sim) between components, at least one for any
+    two that have some; vectors without a component are one of their own.
+
+    A component is a ball around its smallest vector. Two linked vectors of different components lie in balls that touch
+    within the threshold's angle, so only vectors of such balls are compared. That is quadratic in the components of a
+    space, and in the vectors of those that touch.
+    """
+    at = vectors.select("id", "space", "v").join(clusters, F.col("id") == F.col("node"), "left")
+    members = scratch.keep(at.select("id", "space", "v", F.coalesce("component", "id").alias("component"), F.lit(0.0).alias("reach")), "placed")
+    centres = members.where("id = component").select("component", F.col("v").alias("c"))
     cosine = F.aggregate(F.zip_with("v", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    radius = members.join(centres, ["space", "component"]).groupBy("space", "component").agg(F.acos(F.least(F.greatest(F.min(cosine), F.lit(-1.0)), F.lit(1.0))).alias("reach"))
-    balls = centres.join(radius, ["space", "component"]).select(F.col("component").alias("id"), "space", F.col("c").alias("v"), "component", (F.col("reach") + 1e-6).alias("reach"))
-    balls = scratch.keep(balls, "balls")
-    touched = joining(balls, balls, threshold, scratch, each=True).select(F.col("b").alias("component")).distinct()
-    near = scratch.keep(members.join(touched, "component", "left_semi"), "touching")
-    return joining(near, near, threshold, scratch)
+    # only those that are not alone have a radius
+    radius = members.where("id <> component").join(centres, "component").groupBy("component").agg(F.acos(F.least(F.greatest(F.min(cosine), F.lit(-1.0)), F.lit(1.0))).alias("far"))
+    balls = members.where("id = component").drop("reach").join(radius, "component", "left")
+    balls = scratch.keep(balls.select("id", "space", "v", "component", (F.coalesce("far", F.lit(0.0)) + 1e-6).alias("reach")), "balls")
+    near = scratch.keep(members.join(touched(balls, threshold, scratch), "component", "left_semi").select(*members.columns), "touching")
+    return joining(near, threshold, scratch)
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98, k: int = 10, tables: int = 8, reach: int = 3, most_rounds: int = 8, every: int = 20, least_recall: float = 0.999, attempts: int = 3, fewest: int = 20_000) -> DataFrame:
@@ -304,8 +337,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98,
     is what links reach, and kept marks its smallest vec_id. Vectors that are null, empty, zero or hold null or
     non-finite components, and those without a label, link with nothing and are kept. Vectors of different lengths do
     not link. Rows that share a vec_id are one vector, the smallest of those that can link; rows without vec_id have no links and a null component. An empty
-    table gives no rows; other columns are ignored. At least least_recall of the audited vectors that have links had all
-    of them before the audit's own links were added; else all vectors are compared. Where all are audited nothing is lost.
+    table gives no rows; other columns are ignored. No link is lost at any size: what NN-descent missed the check of all
+    components adds, so k, tables, reach and most_rounds change the time only. every, least_recall, attempts and fewest
+    belonged to an audit of a part, which that check has replaced; they are taken from older callers and have no effect.
     """
     usable_rows, class_of = classes(scratch.keep(one_each(usable(vectors)), "vectors"), scratch)
     n = usable_rows.count()
@@ -313,50 +347,25 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98,
     spaces = usable_rows.groupBy("space").count().agg(F.max("count")).first()[0] or 1
     bits = int(min(PLANES, max(2, np.log2(max(spaces, 8) / 6))))
     graph = scratch.keep(nearest(first_graph(usable_rows, tables, bits, reach, partitions), k, partitions), "graph")
-    truth, all_asked = audit(usable_rows, every, fewest, threshold, scratch)
-    truth = scratch.keep(truth, "truth")
-    real = truth.count()
     links = F.col("sim") >= threshold
 
     def per_vector(edges: DataFrame) -> DataFrame:
         return edges.where(links).groupBy("a").agg(F.count("*").alias("n"))
 
-    def grouped(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        clusters = scratch.keep(components(edges.select("a", "b"), scratch), "clusters")
-        return clusters, scratch.keep(complete(usable_rows, clusters, threshold, scratch), "counts")
-
-    def placed(clusters: DataFrame) -> DataFrame:
-        at = usable_rows.join(clusters, usable_rows["id"] == clusters["node"], "left")
-        return scratch.keep(at.select("id", "space", "v", F.coalesce("component", "id").alias("component"), F.lit(0.0).alias("reach")), "placed")
-
-    for attempt in range(attempts):
-        for _ in range(most_rounds):
-            new = nearest(graph.unionAll(descend(usable_rows, graph, k, partitions)), k, partitions)
-            old, graph = graph, scratch.keep(new, "graph")
-            # lists full of links only trade members of their component
-            gained = per_vector(graph).join(per_vector(old).withColumnRenamed("n", "had"), "a", "left").where(F.col("n") > F.coalesce("had", F.lit(0))).count()
-            scratch.drop(old)
-            if gained <= n // 10_000:
-                break
-        edges = scratch.keep(graph.where(links), "links")
-        clusters = scratch.keep(components(edges.select("a", "b"), scratch), "clusters")
-        edges = edges.unionAll(across_saturated(usable_rows, graph, clusters, k, threshold, scratch))
-        clusters, counts = grouped(edges)
-        missed = scratch.keep(truth.join(counts, truth["a"] == counts["id"], "left").where(F.col("n") > F.coalesce("n_links", F.lit(0))).select("a"), "missed")
-        lost = missed.count()
-        whole = all_asked or lost <= (1 - least_recall) * real
-        if not lost:
-            break
-        # the audit's missed links belong to the graph; the last resort is to ask all vectors
-        rows = placed(clusters)
-        asking = rows if not whole and attempt == attempts - 1 else rows.join(missed, rows["id"] == missed["a"], "left_semi")
-        found = joining(asking, rows, threshold, scratch)
-        if whole or attempt == attempts - 1:
-            clusters, counts = grouped(edges.unionAll(found))
+    for _ in range(most_rounds):
+        new = nearest(graph.unionAll(descend(usable_rows, graph, k, partitions)), k, partitions)
+        old, graph = graph, scratch.keep(new, "graph")
+        # lists full of links only trade members of their component
+        gained = per_vector(graph).join(per_vector(old).withColumnRenamed("n", "had"), "a", "left").where(F.col("n") > F.coalesce("had", F.lit(0))).count()
+        scratch.drop(old)
+        if gained <= n // 10_000:
             break
-        k *= 2  # too many missed: longer lists, another start, more rounds
-        more = first_graph(usable_rows, tables * 2, max(2, bits - 1), reach * 2, partitions)
-        old, graph = graph, scratch.keep(nearest(graph.unionAll(more).unionAll(found), k, partitions), "graph")
+    edges = scratch.keep(graph.where(links), "links")
+    clusters = scratch.keep(components(edges.select("a", "b"), scratch), "clusters")
+    found = across(usable_rows, clusters, threshold, scratch)
+    if found.count():
+        clusters = scratch.keep(components(edges.unionAll(found).select("a", "b"), scratch), "clusters")
+    counts = scratch.keep(complete(usable_rows, clusters, threshold, scratch), "counts")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     by_class = usable_rows.select(F.col("id").alias("class"), "weight").join(counts.withColumnRenamed("id", "class"), "class", "left").join(clusters.withColumnRenamed("node", "class"), "class", "left")
     by_class = by_class.select("class", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "class").alias("component"))

@@ -845,3 +845,38 @@ def test_near_vectors_small_groups_beside_a_large_one(spark, scratch):
     for more in ({}, {"fewest": 1, "least_recall": 1.0}):
         got = vectors.near_vectors(df, scratch, k=4, tables=1, reach=1, most_rounds=1, attempts=1, every=7, **more).collect()
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_vector_groups(rows)
+
+
+def test_near_vectors_lose_no_link_where_few_are_audited(spark, scratch):
+    """As in a table too large to audit all of: a poor graph whose misses no audit would count."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((300, 16))
+    rows = [(3 * i + 1, [float(a) for a in centres[i % 300] + rng.standard_normal(16) * 0.05], 0) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_vectors(df, scratch, k=2, tables=1, reach=1, most_rounds=1, attempts=1, every=10**9, fewest=1, least_recall=0.0).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == plain_vector_groups(rows)
+
+
+def test_links_across_components_are_all_found(spark, scratch):
+    """Lone vectors, tight groups and one chain that winds round more than a right angle, in several parts and tiles."""
+    rng = np.random.default_rng(6)
+    turn = np.deg2rad(np.arange(0, 200, 5))
+    chain = np.concatenate([np.stack([np.cos(turn), np.sin(turn)], 1), np.zeros((len(turn), 6))], 1)
+    centres = rng.standard_normal((30, 8))
+    m = np.concatenate([chain, chain + rng.standard_normal(chain.shape) * 0.03, np.repeat(centres, 5, 0) + rng.standard_normal((150, 8)) * 0.1, centres[:9] + rng.standard_normal((9, 8)) * 0.2, rng.standard_normal((200, 8))])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    node = list(range(len(m)))
+    of = {i: 0 for i in range(len(turn))} | {80 + i: 80 + i // 5 * 5 for i in range(150)}
+    group = np.array([of.get(i, i) for i in node])
+    space = np.where(np.array(node) % 7 == 6, 2, 1)
+    for c in set(of.values()):
+        space[group == c] = 1
+    rows = [(i, int(space[i]), [float(x) for x in m[i]]) for i in node]
+    df = spark.createDataFrame(rows, "id long, space long, v array<double>")
+    clusters = spark.createDataFrame(list(of.items()), "node long, component long")
+    x, y = np.nonzero((m @ m.T >= 0.98) & (group[:, None] != group[None, :]) & (space[:, None] == space[None, :]))
+    want = {(min(a, b), max(a, b)) for a, b in zip(group[x].tolist(), group[y].tolist())}
+    pairs = lambda found: {(min(a, b), max(a, b)) for a, b in ((int(group[r["a"]]), int(group[r["b"]])) for r in found.collect())}
+    assert len(want) > 50 and pairs(vectors.across(df, clusters, 0.98, scratch)) == want
+    placed = df.join(clusters, df["id"] == clusters["node"], "left").selectExpr("id", "space", "v", "coalesce(component, id) as component", "0.0D as reach")
+    assert pairs(vectors.joining(placed, 0.98, scratch, at_once=100, block=37)) == want
